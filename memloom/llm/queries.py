@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import copies, tokenise
+from memloom.llm import abuse, copies, leaks, tokenise
 from memloom.session import load
 
 
@@ -31,6 +31,49 @@ def p7_by_source(spark: SparkSession, d: str) -> DataFrame:
     return n.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve words of an item, word for word."""
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "benchmark"))
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve words of an item, up to two words changed, left out or put in."""
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "benchmark"), edits=2)
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """For every leaked item the number of documents it leaked into."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return abuse.score(docs, *abuse.train(docs, load(spark, d, "labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _scored(spark, d).filter("abusive").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, abusive documents and their share."""
+    by = load(spark, d, "documents").select("doc_id", "source").join(_scored(spark, d), "doc_id").groupBy("source")
+    return by.agg(F.count("*").alias("n_docs"), F.count_if("abusive").alias("n_abusive"), F.avg(F.col("abusive").cast("int")).alias("rate"))
+
+
+_P8 = """
+WITH w AS (SELECT 0 AS side, doc_id AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM benchmark),
+p AS (SELECT side, k, ws, unnest(range(1, len(ws) - 10)) AS i FROM w WHERE len(ws) >= 12),
+g AS (SELECT DISTINCT side, k, array_to_string(ws[i:i + 11], ' ') AS g FROM p),
+hit AS (SELECT DISTINCT a.k AS doc_id, b.k AS item_id FROM g a JOIN g b USING (g) WHERE a.side = 0 AND b.side = 1)
+"""
 _P5 = """
 WITH r AS (
   SELECT id, regexp_replace(lower(coalesce(memory_type, '')), '[^a-z0-9]+', '', 'g') AS kind, regexp_replace(lower(summary), '[^a-z0-9]+', '', 'g') AS seq,
@@ -45,8 +88,10 @@ l AS (SELECT id, coalesce(node, min(node) OVER (PARTITION BY leaf), leaf) AS lab
 g AS (SELECT id, min(id) OVER (PARTITION BY label) AS first_id, count(*) OVER (PARTITION BY label) AS n FROM l)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source}
+QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id AS copy_id FROM g WHERE id != first_id",
+    "p8_found": _P8 + "SELECT doc_id, item_id FROM hit",
+    "p8_items": _P8 + "SELECT item_id, count(*) AS n_docs FROM hit GROUP BY 1",
     "p5_collapsed": _P5 + "SELECT first_id, max(n) AS n_copies FROM g GROUP BY 1",
 }
