@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import abuse, copies, leaks, tokenise
+from memloom.llm import abuse, copies, leaks, personal, tokenise
 from memloom.session import load
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    turns = load(spark, d, "conv1").select(F.lit("conv1").alias("tbl"), F.expr("conv_id || ':' || turn").alias("rec_id"), F.col("content").alias("text"))
+    return turns.unionByName(load(spark, d, "memory_items").select(F.lit("memory_items").alias("tbl"), F.col("id").alias("rec_id"), F.col("summary").alias("text")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of personal data in every message and item."""
+    return personal.report(_texts(spark, d), ["tbl", "rec_id"], "text")
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every message and item with placeholders for personal data."""
+    return personal.masked(_texts(spark, d), "text", b"not a secret: this key is for test data")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that repeat another item in another form."""
     return copies.copies(load(spark, d, "memory_items"))
@@ -88,7 +103,7 @@ l AS (SELECT id, coalesce(node, min(node) OVER (PARTITION BY leaf), leaf) AS lab
 g AS (SELECT id, min(id) OVER (PARTITION BY label) AS first_id, count(*) OVER (PARTITION BY label) AS n FROM l)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
     "p5_found": _P5 + "SELECT DISTINCT first_id, id AS copy_id FROM g WHERE id != first_id",
     "p8_found": _P8 + "SELECT doc_id, item_id FROM hit",
