@@ -31,7 +31,7 @@ def p1_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _instants(spark: SparkSession, d: str, found_only: bool) -> DataFrame:
-    turns = load(spark, d, "conv3").select(F.lit("conv3").alias("tbl"), F.concat_ws(":", "conv_id", "turn").alias("rec_id"), F.col("created_at").alias("raw"), "tz")
+    turns = load(spark, d, "conv3").select(F.lit("conv3").alias("tbl"), F.expr("conv_id || ':' || turn").alias("rec_id"), F.col("created_at").alias("raw"), "tz")
     items = load(spark, d, "memory_items").select(F.lit("memory_items").alias("tbl"), F.col("id").alias("rec_id"), F.col("happened_at").alias("raw"), "tz")
     return instants.normalise(turns.unionByName(items), "raw", "tz", found_only=found_only)
 
