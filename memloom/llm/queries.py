@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import abuse, copies, leaks, personal, tokenise
+from memloom.llm import abuse, copies, leaks, near, personal, tokenise
 from memloom.session import load
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of items with nearly the same words."""
+    return near.near_pairs(load(spark, d, "memory_items"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every item, and its number of links."""
+    return near.near_classes(load(spark, d, "memory_items"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     turns = load(spark, d, "conv1").select(F.lit("conv1").alias("tbl"), F.expr("conv_id || ':' || turn").alias("rec_id"), F.col("content").alias("text"))
     return turns.unionByName(load(spark, d, "memory_items").select(F.lit("memory_items").alias("tbl"), F.col("id").alias("rec_id"), F.col("summary").alias("text")))
@@ -82,6 +92,12 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return by.agg(F.count("*").alias("n_docs"), F.count_if("abusive").alias("n_abusive"), F.avg(F.col("abusive").cast("int")).alias("rate"))
 
 
+_P2 = """
+WITH s AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]+'))) AS w FROM memory_items WHERE summary IS NOT NULL),
+t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM s WHERE len(w) > 0),
+o AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM o WHERE 10 * o >= 7 * (na + nb - o)
+"""
 _P8 = """
 WITH w AS (SELECT 0 AS side, doc_id AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents
   UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM benchmark),
@@ -103,8 +119,9 @@ l AS (SELECT id, coalesce(node, min(node) OVER (PARTITION BY leaf), leaf) AS lab
 g AS (SELECT id, min(id) OVER (PARTITION BY label) AS first_id, count(*) OVER (PARTITION BY label) AS n FROM l)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
+    "p2_found": _P2,
     "p5_found": _P5 + "SELECT DISTINCT first_id, id AS copy_id FROM g WHERE id != first_id",
     "p8_found": _P8 + "SELECT doc_id, item_id FROM hit",
     "p8_items": _P8 + "SELECT item_id, count(*) AS n_docs FROM hit GROUP BY 1",
