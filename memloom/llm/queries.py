@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import abuse, copies, leaks, near, personal, tokenise
+from memloom.llm import abuse, copies, leaks, near, neighbours, personal, tokenise
 from memloom.session import load
 
 
@@ -19,6 +19,16 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return near.near_classes(load(spark, d, "memory_items"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of items and resources with nearly the same vector."""
+    return neighbours.similar_pairs([load(spark, d, "memory_items"), load(spark, d, "resources")])
+
+
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar items or resources of every fiftieth by id hash."""
+    return neighbours.nearest([load(spark, d, "memory_items"), load(spark, d, "resources")])
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     turns = load(spark, d, "conv1").select(F.lit("conv1").alias("tbl"), F.expr("conv_id || ':' || turn").alias("rec_id"), F.col("content").alias("text"))
     return turns.unionByName(load(spark, d, "memory_items").select(F.lit("memory_items").alias("tbl"), F.col("id").alias("rec_id"), F.col("summary").alias("text")))
@@ -98,6 +108,11 @@ t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM s WHERE len(w) > 0),
 o AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM o WHERE 10 * o >= 7 * (na + nb - o)
 """
+_P3 = """
+WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM (SELECT id, embedding FROM memory_items UNION ALL SELECT id, embedding FROM resources)
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0)
+SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+"""
 _P8 = """
 WITH w AS (SELECT 0 AS side, doc_id AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents
   UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM benchmark),
@@ -119,8 +134,9 @@ l AS (SELECT id, coalesce(node, min(node) OVER (PARTITION BY leaf), leaf) AS lab
 g AS (SELECT id, min(id) OVER (PARTITION BY label) AS first_id, count(*) OVER (PARTITION BY label) AS n FROM l)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p7_by_source": p7_by_source, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
+    "p3_found": _P3,
     "p2_found": _P2,
     "p5_found": _P5 + "SELECT DISTINCT first_id, id AS copy_id FROM g WHERE id != first_id",
     "p8_found": _P8 + "SELECT doc_id, item_id FROM hit",
