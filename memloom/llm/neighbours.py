@@ -113,14 +113,20 @@ def _unpacked(rows: list[pa.Array]) -> np.ndarray:
 
 
 def vectors(tables: list[DataFrame], key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """Records (id, vec), and different vectors (vec, embedding, first, n)."""
+    """Records (id, vec), and different vectors (vec, embedding, first, n, asked).
+
+    Vectors are named by a hash and told apart by 128 bits; only copies are ever shuffled, without their numbers.
+    """
     rows = reduce(DataFrame.unionByName, [t.select(F.col(key).alias("id"), F.col(vector).alias("embedding")) for t in tables])
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
     rows = rows.filter(F.col("id").isNotNull() & (F.size("embedding") == DIMENSIONS)).filter(finite)
-    # equal arrays are grouped, not equal hashes; the hash only names them from then on
-    different = rows.groupBy("embedding").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(_asked("id")).alias("asked"))
-    different = cut(different.select(F.xxhash64("embedding").alias("vec"), "embedding", "first", "n", "asked"), "vectors")
-    return rows.select("id", F.xxhash64("embedding").alias("vec")), different
+    rows = cut(rows.select("id", F.xxhash64("embedding").alias("vec"), F.xxhash64("embedding", F.lit(1)).alias("twin"), "embedding"), "vectors")
+    named = rows.select("id", "vec", "twin").distinct().groupBy("vec", "twin")
+    copies = cut(named.agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(_asked("id")).alias("any_asked")).filter("n > 1"), "copies")
+    few = copies.limit(FEW + 1).count() <= FEW
+    different = rows.join(F.broadcast(copies) if few else copies, ["vec", "twin"], "left").filter("first IS NULL OR id = first")
+    one = (F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("any_asked", _asked("id")).alias("asked"))
+    return rows.select("id", "vec"), different.select("vec", "embedding", F.col("id").alias("first"), *one)
 
 
 def _asked(key: str):  # noqa: ANN202
