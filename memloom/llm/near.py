@@ -8,8 +8,8 @@ their heavy words that of as many parts as allowed differences, plus one, some p
 again a subset, of the heavy words - is the same in both. Both boundaries, of sizes
 and of word frequencies, are chosen by cost from the size and frequency histograms.
 
-Within a list only pairs pass whose 128-bit parity sketches differ in no more bits than the
-sets may differ in words, which no true pair fails; what passes is verified on the words.
+Within a list only pairs pass whose parity sketches, of 64 and then of 128 bits, differ in no more bits
+than the sets may differ in words, which no true pair fails; what passes is verified on the words.
 Every step is exact. Equal sets are joined once and expanded at the end.
 
 Defined results
@@ -35,12 +35,16 @@ from pyspark.sql import functions as F
 from memloom.session import cut
 
 THRESHOLD = Fraction(7, 10)
-#: Pair checks a set may cost in lists of light words, on average.
-CHECKS = 8_000
+#: Costs of a row that is shuffled and of a pair that is checked, in nanoseconds, and the frequency boundaries
+#: weighed: those at which a set costs so many checks on average.
+ROW_COST, CHECK_COST = 2_500, 2
+CHECKS = tuple(125 * 2**k for k in range(11))
 #: Heavy words are broadcast, so the frequency boundary rises until there are no more than these.
 HEAVY = 500_000
 #: Rows of one list that meet in one step; longer ones are split. Rows of lists a worker holds at a time.
 GROUP, CHUNK = 30_000, 150_000
+#: Lists from so many rows on are compared in blocks of rows.
+LONG, BLOCK = 96, 128
 #: Candidate pairs up to which the sets they need are fetched by broadcast.
 FEW_PAIRS = 500_000
 #: 1 of so many rows is counted to find long lists.
@@ -70,19 +74,35 @@ class Plan:
         """``sizes``: sets by size; ``counts``: (frequency, words with it), ascending."""
         self.threshold = threshold
         self.slack = (1 - threshold) / (1 + threshold)  # of the summed sizes, the most two sets may differ in
-        n = max(1, sum(sizes.values()))
-        checks, heavy, self.light = 0.0, sum(w for _, w in counts), 0
-        light_rows = 0
-        for f, w in counts:
-            checks += w * f * f / 2
-            if checks > CHECKS * n and heavy <= HEAVY:
-                break
-            self.light, heavy, light_rows = f, heavy - w, light_rows + w * f
-        # a subset row costs what a list row costs: small sets are those with no more subsets than the others have list rows
-        per_set = max(8.0, light_rows / n)
-        self.small = max((s for s in range(1, 13) if self.subsets(s) <= per_set), default=0)
+        self.sets = max(1, sum(sizes.values()))
+        checks, heavy, budget = 0.0, sum(w for _, w in counts), [c * self.sets for c in CHECKS]
+        #: (highest frequency of a light word, number of heavy words, pair checks), ascending
+        self.choices: list[tuple[int, int, float]] = []
+        for k, (f, w) in enumerate(counts):
+            checks, heavy = checks + w * f * f / 2, heavy - w
+            last = k + 1 == len(counts) or (checks + counts[k + 1][1] * counts[k + 1][0] ** 2 / 2 > budget[0])
+            if heavy <= HEAVY and last:
+                self.choices.append((f, heavy, checks))
+                while len(budget) > 1 and k + 1 < len(counts) and checks + counts[k + 1][1] * counts[k + 1][0] ** 2 / 2 > budget[0]:
+                    budget.pop(0)
+        self.choices = self.choices or [(0, 0, 0.0)]
+        self.light, self.heavy, _ = self.choices[0]
+        # a small set may have as many subsets as it has words, so that it costs no more rows than its lists would
+        self.small = max((s for s in range(1, 13) if self.subsets(s) <= s + 1), default=0)
         self.classes: list[int] = []
 
+    def choose(self, met: dict[int, dict[int, int]], lists: dict[int, int]) -> None:
+        """Settle the frequency boundary; ``met``: sets by spare, ``lists``: rows of light words, for each choice."""
+
+        def cost(k: int) -> float:
+            parts = sum(n * sum(q + o + 1 for o in met[k] if q + o >= 0) for q, n in met[k].items())
+            return ROW_COST * (lists[k] + parts) + CHECK_COST * self.choices[k][2]
+
+        if met:
+            best = min(met, key=lambda k: (cost(k), k))
+            self.light, self.heavy, _ = self.choices[best]
+            self.classes = sorted(met[best])
+
     def overlap(self, a: int, b: int) -> int:
         return ceil(self.threshold / (1 + self.threshold) * (a + b))
 
@@ -113,14 +133,20 @@ class Splitter:
         own = np.repeat(np.arange(len(size)), size)
         at = np.minimum(np.searchsorted(self.heavy[0], flat), max(0, len(self.heavy[0]) - 1))
         rank = np.where(self.heavy[0][at] == flat, self.heavy[1][at], -1) if len(self.heavy[0]) else np.full(len(flat), -1)
-        light = np.bincount(own[rank < 0], minlength=len(size))
-        return flat, size, own, rank, self.plan.spare(size, light)
+        return flat, size, own, np.where(rank < self.plan.heavy, rank, -1)
 
     def classes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(choice, spare, sets, rows of lists), for every choice of the frequency boundary."""
+        plan = self.plan
         for b in batches:
-            size, spare = (self.measure(b)[k] for k in (1, 4))
-            q, n = np.unique(spare[size > self.plan.small * float(self.plan.threshold)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int64())], ["q", "n"])
+            _, size, own, rank = self.measure(b)
+            scans = size > plan.small * float(plan.threshold)
+            out = []
+            for k, (_, heavy, _) in enumerate(plan.choices):
+                light = np.bincount(own[(rank < 0) | (rank >= heavy)], minlength=len(size))[scans]
+                q, at, n = np.unique(plan.spare(size[scans], light), return_inverse=True, return_counts=True)
+                out.append((np.full(len(q), k), q, n, np.bincount(at, light, minlength=len(q)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["k", "q", "n", "rows"])
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,10 +155,13 @@ class Splitter:
 
     def _rows(self, b: pa.RecordBatch) -> pa.RecordBatch:
         plan = self.plan
-        flat, size, own, rank, spare = self.measure(b)
+        flat, size, own, rank = self.measure(b)
+        spare = plan.spare(size, np.bincount(own[rank < 0], minlength=len(size)))
         first = np.cumsum(size) - size
         mixed = _mix(flat.view(np.uint64))
-        sketch = [np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(s) & np.uint64(63)), first) for s in (0, 6)]
+        bit = np.uint64(1) << (mixed & np.uint64(63))
+        whole = np.bitwise_xor.reduceat(bit, first)  # 64 positions for all words, and the part of half of them: together 128 positions
+        half = np.bitwise_xor.reduceat(np.where(mixed >> np.uint64(6) & np.uint64(1), bit, np.uint64(0)), first)
         keys, sides, sets = [], [], []
 
         def put(key: np.ndarray, side: int, of: np.ndarray) -> None:
@@ -169,31 +198,48 @@ class Splitter:
                 put(key[take], 0 if q == other else 1 if q < other else 2, np.repeat(of, parts).reshape(-1, parts)[take])
         of = np.concatenate(sets)
         ids = b.column("set").to_numpy()
-        cols = [np.concatenate(keys).view(np.int64), np.concatenate(sides), ids[of], size[of].astype(np.int32), sketch[0][of].view(np.int64), sketch[1][of].view(np.int64)]
+        cols = [np.concatenate(keys).view(np.int64), np.concatenate(sides), ids[of], size[of].astype(np.int32), whole[of].view(np.int64), half[of].view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "side", "set", "size", "fa", "fb"])
 
 
 def _meet(slack: Fraction):  # noqa: ANN202
-    """Pairs within each list, rows sorted by key: rows k apart are compared for all lists at once."""
+    """Pairs within each list, rows sorted by key and size."""
     p, q = slack.numerator, slack.denominator
 
-    def pairs(key, side, sets, size, fa, fb) -> pa.RecordBatch:  # noqa: ANN001
-        a, b = [], []
-        i = np.arange(len(key) - 1)
-        k = 0
-        while True:
+    def kept(i, j, side, sets, size, fa, fb):  # noqa: ANN001, ANN202
+        whole, half = fa[i] ^ fa[j], fb[i] ^ fb[j]
+        bits = np.bitwise_count(half).astype(np.int64) + np.bitwise_count(whole ^ half)
+        ok = (bits * q <= p * (size[i] + size[j])) & ((side[i] == 0) | (side[i] != side[j])) & (sets[i] != sets[j])
+        return sets[i[ok]], sets[j[ok]]
+
+    def short(key, side, sets, size, fa, fb):  # noqa: ANN001, ANN202
+        """Rows k apart are compared for all lists at once."""
+        i, k = np.arange(len(key) - 1), 0
+        while len(i):
             k += 1
             i = i[i + k < len(key)]
             i = i[key[i] == key[i + k]]
-            if not len(i):
-                break
             j = i + k
-            ok = (np.bitwise_count(fa[i] ^ fa[j]).astype(np.int64) * q <= p * (size[i] + size[j])) & ((side[i] == 0) | (side[i] != side[j]))
-            x, y = i[ok], j[ok]
-            ok = (np.bitwise_count(fb[x] ^ fb[y]).astype(np.int64) * q <= p * (size[x] + size[y])) & (sets[x] != sets[y])
-            a.append(sets[x[ok]])
-            b.append(sets[y[ok]])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+            near = np.bitwise_count(fa[i] ^ fa[j]).astype(np.int64) * q <= p * (size[i] + size[j])
+            yield kept(i[near], j[near], side, sets, size, fa, fb)
+
+    def long(side, sets, size, fa, fb):  # noqa: ANN001, ANN202
+        """A block of rows against the rest of its list, whose sizes ascend."""
+        for lo in range(0, len(sets), BLOCK):
+            hi = min(lo + BLOCK, len(sets))
+            bound = np.minimum(p * (size[hi - 1] + size[lo:]) // q, 64).astype(np.uint8)
+            i, j = np.nonzero(np.bitwise_count(fa[lo:hi, None] ^ fa[None, lo:]) <= bound[None, :])
+            up = j > i
+            yield kept(lo + i[up], lo + j[up], side, sets, size, fa, fb)
+
+    def pairs(key, *cols) -> pa.RecordBatch:  # noqa: ANN001
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        runs = np.diff(edges)
+        is_long = np.repeat(runs >= LONG, runs)
+        found = list(short(key[~is_long], *(c[~is_long] for c in cols)))
+        for e, n in zip(edges[:-1][runs >= LONG], runs[runs >= LONG], strict=True):
+            found += long(*(c[e : e + n] for c in cols))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -254,17 +300,21 @@ def similar_sets(sets: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     sizes = {r.s: r.n for r in sets.groupBy(F.size("words").alias("s")).agg(F.count("*").alias("n")).collect()}
     frequency = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
     frequency = cut(frequency, "frequency")
-    # frequencies are counted in steps of an eighth octave, so the histogram is a few hundred rows
-    step = F.pow(F.lit(2.0), F.floor(F.log2("f") * 8 + 1) / 8)
+    # frequencies are counted in steps of a 32nd octave, so the histogram is about a thousand rows
+    step = F.pow(F.lit(2.0), F.floor(F.log2("f") * 32 + 1) / 32)
     counts = [(int(r.f), r.n) for r in frequency.groupBy(step.alias("f")).agg(F.count("*").alias("n")).orderBy("f").collect()]
     plan = Plan(threshold, sizes, counts)
-    found = frequency.filter(F.col("f") > plan.light).orderBy(F.desc("f"), "w").toPandas()
-    order = np.argsort(found["w"].to_numpy()) if len(found) else np.empty(0, np.int64)
-    heavy = np.stack([found["w"].to_numpy(np.int64)[order], np.arange(len(found))[order]]) if len(found) else np.empty((2, 0), np.int64)
-    splitter = Splitter(plan, heavy)
-    plan.classes = sorted(r.q for r in sets.mapInArrow(splitter.classes, "q bigint, n bigint").groupBy("q").agg(F.sum("n").alias("n")).collect())
+    found = frequency.filter(F.col("f") > plan.light).withColumn("step", step).orderBy(F.desc("step"), "w").select("w").toPandas()["w"].to_numpy(np.int64)
+    order = np.argsort(found)
+    splitter = Splitter(plan, np.stack([found[order], np.arange(len(found))[order]]))
+    met: dict[int, dict[int, int]] = {}
+    lists: dict[int, int] = {}
+    for r in sets.mapInArrow(splitter.classes, "k bigint, q bigint, n bigint, rows bigint").groupBy("k", "q").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect():
+        met.setdefault(r.k, {})[r.q] = r.n
+        lists[r.k] = lists.get(r.k, 0) + r.rows
+    plan.choose(met, lists)
     rows = _split_long(sets.mapInArrow(splitter.rows, _KEYED))
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(plan.slack), "a bigint, b bigint").distinct()
+    met = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(plan.slack), "a bigint, b bigint").distinct()
     met = cut(met, "candidates")
     n = met.count()
     ids = met.select(F.col("a").alias("set")).union(met.select("b")).distinct()
@@ -277,20 +327,24 @@ def similar_sets(sets: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     return both.filter(ok & (F.size("wa") > 0)).select("a", "b", (common / union).alias("jaccard"))
 
 
-def _collapsed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Members (id, set), and different sets (set, words) with the number of members."""
-    each = cut(word_sets(df, key, text), "words")
-    # the words themselves are the grouping key: equal sets, never just equal hashes
-    sets = each.groupBy("words").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    sets = cut(sets.select(F.xxhash64("words").alias("set"), "first", "n", "words"), "sets")
-    return each.select("id", F.xxhash64("words").alias("set")), sets
+def _collapsed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (id, set); different sets (set, words), each with the words of its smallest id; and those with copies (set, first, n).
+
+    Sets are named by a hash and told apart by 128 bits; only the copies are ever shuffled, without their words.
+    """
+    each = cut(word_sets(df, key, text).select("id", F.xxhash64("words").alias("set"), F.xxhash64("words", F.lit(1)).alias("twin"), "words"), "words")
+    members = each.select("id", "set", "twin")
+    copies = cut(members.distinct().groupBy("set", "twin").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    few = copies.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+    sets = each.join(F.broadcast(copies) if few else copies, ["set", "twin"], "left").filter("first IS NULL OR id = first")
+    return members.select("id", "set"), sets.select("set", "words"), copies.select("set", "first", "n")
 
 
 def near_pairs(df: DataFrame, key: str = "id", text: str = "summary", threshold: Fraction = THRESHOLD) -> DataFrame:
     """(id_a, id_b): every pair of records that reaches the threshold."""
-    members, sets = _collapsed(df, key, text)
-    pairs = cut(similar_sets(sets.select("set", "words"), threshold).select("a", "b"), "pairs")
-    linked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(sets.filter("n > 1").select("set")).distinct()
+    members, sets, copies = _collapsed(df, key, text)
+    pairs = cut(similar_sets(sets, threshold).select("a", "b"), "pairs")
+    linked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(copies.select("set")).distinct()
     few = linked.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
     of = cut(members.join(F.broadcast(linked) if few else linked, "set", "left_semi").distinct(), "members")
     a, b = of.select(F.col("id").alias("x"), F.col("set").alias("a")), of.select(F.col("id").alias("y"), F.col("set").alias("b"))
@@ -301,10 +355,10 @@ def near_pairs(df: DataFrame, key: str = "id", text: str = "summary", threshold:
 
 def near_classes(df: DataFrame, key: str = "id", text: str = "summary", threshold: Fraction = THRESHOLD) -> DataFrame:
     """(id, class_id, n_links): for every record with words the smallest id of its class, and how many records it is linked to."""
-    members, sets = _collapsed(df, key, text)
-    pairs = cut(similar_sets(sets.select("set", "words"), threshold).select("a", "b"), "pairs")
+    members, sets, copies = _collapsed(df, key, text)
+    pairs = cut(similar_sets(sets, threshold).select("a", "b"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    names = sets.select("set", "first", "n")
+    names = cut(members.distinct().groupBy("set").agg(F.min("id").alias("first"), F.count("*").alias("n")), "names")
     linked = cut(both.join(names.select(F.col("set").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links")), "links")
     label = linked.select(F.col("a").alias("set")).join(names.select("set", F.col("first").alias("label")), "set")
     while True:  # every round halves the longest chain: a neighbour's label, then the label's label
