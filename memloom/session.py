@@ -2,7 +2,7 @@
 
 Scratch tables live below the folder that the session names in
 ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder
-of our own is taken and written back to the session.
+of our own is taken.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Keys that hold more than 1/HOT_SHARE of all rows are joined apart; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 200
+#: Own folders, by application.
+_own: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +29,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; made up for a session that names none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="memloom-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        app = spark.sparkContext.applicationId
+        conf = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="memloom-"))
     return conf.rstrip("/")
 
 
@@ -40,10 +42,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: the lineage ends here and survives lost executors."""
+    """Write ``df`` to a scratch table and read it back: the lineage ends here and survives lost executors.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
