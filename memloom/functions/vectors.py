@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPSILON = 1e-9
 #: Fixed value: the decay constant of the half-life, not the exact logarithm of two.
@@ -28,6 +31,31 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def cosine_to(column: Column, query: list[float]) -> Column:
+    """Cosine with one constant vector, a matrix product per Arrow batch; null for other lengths, NaN for vectors that hold a null or NaN.
+
+    On vectors of some size this takes well under half the time of the expression above, which walks every vector three times.
+    """
+    q = np.asarray(query, np.float64)
+    length = float(np.sqrt(q @ q))
+
+    @F.arrow_udf(T.DoubleType())
+    def run(v: pa.Array) -> pa.Array:
+        if isinstance(v, pa.ChunkedArray):
+            v = v.combine_chunks()
+        size = np.diff(v.offsets.to_numpy())
+        ok = (size == len(q)) & ~v.is_null().to_numpy(zero_copy_only=False)
+        start = v.offsets.to_numpy()[:-1][ok]
+        flat = v.values.to_numpy(zero_copy_only=False)
+        m = flat[start[:, None] + np.arange(len(q))].astype(np.float64) if len(start) else np.empty((0, len(q)))
+        out = np.zeros(len(size))
+        with np.errstate(all="ignore"):
+            out[ok] = m @ q / (np.sqrt(np.einsum("ij,ij->i", m, m)) * length + EPSILON)
+        return pa.array(out, pa.float64(), mask=~ok)
+
+    return run(column)
+
+
 def reinforcement(count: Column) -> Column:
     return F.log(count.cast("double") + 1)
 

@@ -10,8 +10,8 @@ from memloom.functions import vectors
 
 def scored(df: DataFrame, query: list[float] | Column, vector: str = "embedding") -> DataFrame:
     """Rows with a usable vector and their ``score``; NaN scores are dropped."""
-    q = vectors.literal(query) if isinstance(query, list) else query
-    return df.withColumn("score", vectors.cosine(F.col(vector), q)).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    score = vectors.cosine_to(F.col(vector), query) if isinstance(query, list) else vectors.cosine(F.col(vector), query)
+    return df.withColumn("score", score).filter(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
 def top_k(df: DataFrame, k: int, key: str = "id") -> DataFrame:
