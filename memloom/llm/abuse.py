@@ -83,20 +83,26 @@ def words(text: str | None) -> list[str]:
 
 
 class KneserNey:
-    """Both class models over one vocabulary, as sorted n-gram arrays."""
+    """Both class models over one vocabulary, as sorted n-gram arrays.
+
+    Vocabulary, shared counts and the ordinary model stay as they are while the abusive one is fitted again.
+    """
 
     def __init__(self, abusive: list[list[str]], ordinary: list[list[str]], least_documents: int = 1) -> None:
         seen = Counter(w for part in (abusive, ordinary) for ws in part for w in set(ws))
         self.code = {w: i + 2 for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}  # 0: start, 1: rare
         self.size = len(self.code) + 2
-        coded = [[self.encode(ws) for ws in part] for part in (abusive, ordinary)]
-        pooled = np.bincount(np.concatenate([np.concatenate(c) if c else np.empty(0, np.int64) for c in coded]), minlength=self.size).astype(float)
-        base = (pooled + 0.5) / (pooled.sum() + 0.5 * self.size)
-        self.levels = [self._fit(c, base, least_documents if k == 0 else 1) for k, c in enumerate(coded)]
+        own, other = ([self.encode(ws) for ws in part] for part in (abusive, ordinary))
+        pooled = np.bincount(np.concatenate([*own, *other]), minlength=self.size).astype(float)
+        self.base = (pooled + 0.5) / (pooled.sum() + 0.5 * self.size)
+        self.levels = [self._fit(own, least_documents), self._fit(other, 1)]
+
+    def refit(self, abusive: list[np.ndarray]) -> None:
+        self.levels = [self._fit(abusive, 1), self.levels[1]]
 
     def encode(self, ws: list[str]) -> np.ndarray:
         get = self.code.get
-        return np.fromiter((get(w, 1) for w in ws), np.int64, len(ws))
+        return np.array([get(w, 1) for w in ws], np.int64)
 
     def _grams(self, ids: np.ndarray, n: int) -> np.ndarray:
         """The key of the n-gram that ends at each word."""
@@ -105,38 +111,45 @@ class KneserNey:
             key = key * self.size + np.concatenate([np.zeros(min(k, len(ids)), np.int64), ids[: max(0, len(ids) - k)]])
         return key
 
-    def _fit(self, docs: list[np.ndarray], base: np.ndarray, least: int) -> dict:
-        grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def _fit(self, docs: list[np.ndarray], least: int) -> dict:
+        """By order: keys, discounted shares, and what is left for the order below, by the position of the history's own key."""
+        docs = [d for d in docs if len(d)]
+        gap = np.zeros(ORDER - 1, np.int64)
+        ids = np.concatenate([np.concatenate([gap, d]) for d in docs]) if docs else np.empty(0, np.int64)
+        own = np.repeat(np.arange(len(docs)), [len(d) + len(gap) for d in docs]) if docs else np.empty(0, np.int64)
+        real = np.concatenate([np.arange(len(d) + len(gap)) >= len(gap) for d in docs]) if docs else np.empty(0, bool)
+        keys, count = {}, {}
         for n in range(1, ORDER + 1):
-            each = [np.unique(self._grams(d, n), return_counts=True) for d in docs if len(d)]
-            if not each:
-                grams[n] = (np.empty(0, np.int64), np.empty(0))
-                continue
-            keys, at = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([c for _, c in each]))
-            in_docs = np.bincount(at)
-            grams[n] = (keys[in_docs >= least], count[in_docs >= least])
+            g, d = self._grams(ids, n)[real], own[real]
+            keys[n], at, count[n] = np.unique(g, return_inverse=True, return_counts=True)
+            if least > 1 and len(g):
+                in_docs = np.bincount(np.unique(np.stack([at, d]), axis=1)[0], minlength=len(keys[n]))
+                keys[n], count[n] = keys[n][in_docs >= least], count[n][in_docs >= least]
         out: dict = {}
-        top = grams[1]
+        for n in range(ORDER - 1, 1, -1):  # lower orders count contexts, not occurrences; histories of kept n-grams stay
+            tails, contexts = np.unique(keys[n + 1] % self.size**n, return_counts=True)
+            counted = np.zeros(len(keys[n]))
+            at = np.searchsorted(keys[n], tails)
+            met = (at < len(keys[n])) & (np.append(keys[n], -1)[np.minimum(at, len(keys[n]))] == tails)
+            counted[at[met]] = contexts[met]
+            stays = (counted > 0) | np.isin(keys[n], keys[n + 1] // self.size)
+            keys[n], count[n] = keys[n][stays], counted[stays]
+        below = np.arange(self.size)
         for n in range(1, ORDER + 1):
-            keys, count = grams[n]
-            if n < ORDER and n > 1:  # lower orders count contexts, not occurrences
-                higher = grams[n + 1][0]
-                tails, contexts = np.unique(higher % self.size**n, return_counts=True)
-                count = np.zeros(len(keys))
-                at = np.searchsorted(tails, keys)
-                ok = (at < len(tails)) & (np.append(tails, -1)[np.minimum(at, len(tails))] == keys)
-                count[ok] = contexts[at[ok]]
-                keys, count = keys[count > 0], count[count > 0]
-            heads, at, kinds = np.unique(keys // self.size, return_inverse=True, return_counts=True)
-            total = np.bincount(at, count, minlength=len(heads))
-            kept = np.maximum(count - DISCOUNT, 0) / total[at] if len(keys) else np.empty(0)
-            out[n] = (keys, kept, heads, DISCOUNT * kinds / np.maximum(total, 1e-9))
-        del top
-        uni = np.full(self.size, 0.0)
-        keys, kept, _, rest = out[1]
-        uni[keys] = kept
-        out[1] = uni + (rest[0] if len(rest) else 1.0) * base
+            heads, at = np.unique(keys[n] // self.size, return_inverse=True)
+            total = np.bincount(at, count[n], minlength=len(heads))
+            kinds = np.bincount(at, count[n] > 0, minlength=len(heads))
+            kept = np.maximum(count[n] - DISCOUNT, 0) / np.maximum(total[at], 1e-9) if len(keys[n]) else np.empty(0)
+            left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1e-9), 1.0)
+            if n == 1:
+                uni = np.zeros(self.size)
+                uni[keys[1]] = kept
+                out[1] = uni + (left[0] if len(left) else 1.0) * self.base
+                continue
+            rest = np.full(len(below) + 1, np.nan)
+            rest[np.searchsorted(below, heads)] = left
+            out[n] = (keys[n], kept, rest)
+            below = keys[n]
         return out
 
     def log_ratio(self, ids: np.ndarray) -> np.ndarray:
@@ -144,17 +157,17 @@ class KneserNey:
         logs = []
         grams = {n: self._grams(ids, n) for n in range(2, ORDER + 1)}
         for level in self.levels:
-            p = level[1][ids]
+            p, here = level[1][ids], ids
             for n in range(2, ORDER + 1):
-                keys, kept, heads, rest = level[n]
+                keys, kept, rest = level[n]
                 if not len(keys):
-                    continue
-                g = grams[n]
-                at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                up = np.where(keys[at] == g, kept[at], 0.0)
-                h = g // self.size
-                at = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
-                p = np.where(heads[at] == h, up + rest[at] * p, p)
+                    break
+                before = np.concatenate([np.full(1, len(rest) - 1), here[:-1]])  # where the history stands among the keys of the order below
+                at = np.minimum(np.searchsorted(keys, grams[n]), len(keys) - 1)
+                same = keys[at] == grams[n]
+                left = rest[before]
+                p = np.where(np.isnan(left), p, np.where(same, kept[at], 0.0) + left * p)
+                here = np.where(same, at, len(keys))
             logs.append(np.log(p))
         return logs[0] - logs[1]
 
@@ -188,34 +201,37 @@ def scores(model: KneserNey | None, docs: list[list[str]]) -> np.ndarray:
     for n in LENGTHS:
         start = np.arange(max(0, len(ids) - n + 1))
         start = start[(start >= first[own[start]] + gap) & (own[start] == own[start + n - 1])]
-        np.maximum.at(best, own[start], (sums[start + n] - sums[start]) / np.sqrt(n))
+        if len(start):
+            edge = np.flatnonzero(np.concatenate([[True], own[start][1:] != own[start][:-1]]))
+            at = own[start[edge]]
+            best[at] = np.maximum(best[at], np.maximum.reduceat((sums[start + n] - sums[start]) / np.sqrt(n), edge))
     return best
 
 
-def fit(marked: list[tuple[str | None, int]]) -> KneserNey | None:
-    """A model of the marked texts (text, 1 if abusive); None without both classes."""
-    texts = {kind: [ws for t, y in marked if y == kind and (ws := words(t))] for kind in (0, 1)}
-    if not texts[0] or not texts[1]:
+def fit(marked: list[tuple[list[str], int]]) -> KneserNey | None:
+    """A model of the marked documents (words, 1 if abusive); None without both classes."""
+    abusive, ordinary = ([ws for ws, y in marked if y == kind and ws] for kind in (1, 0))
+    if not ordinary or not abusive:
         return None
-    repeated = 2 if len(texts[1]) >= 20 else 1
-    model = KneserNey(texts[1], texts[0], repeated)
+    model = KneserNey(abusive, ordinary, 2 if len(abusive) >= 20 else 1)
+    coded = [model.encode(ws) for ws in abusive]
     for _ in range(TURNS):
-        found = [[ws[a:b] for a, b in abusive_spans(model.log_ratio(model.encode(ws)))] for ws in texts[1]]
-        parts = [p for ps in found for p in ps]
+        parts = [ids[a:b] for ids in coded for a, b in abusive_spans(model.log_ratio(ids))]
         if not parts:
             break
-        model = KneserNey(parts, texts[0])
+        model.refit(parts)
     return model
 
 
-def fit_with_threshold(marked: list[tuple[str | None, int]]) -> tuple[KneserNey | None, float]:
+def fit_with_threshold(texts: list[tuple[str | None, int]]) -> tuple[KneserNey | None, float]:
     """The model of all marks, and the threshold with the best F1 on halves that the other half's model scored."""
+    marked = [(words(t), y) for t, y in texts]
     model = fit(marked)
     pairs = []
     for fold in (0, 1):
         held = marked[fold::2]
         if (other := fit(marked[1 - fold :: 2])) is not None:
-            pairs += zip(scores(other, [words(t) for t, _ in held]).tolist(), [y for _, y in held], strict=True)
+            pairs += zip(scores(other, [ws for ws, _ in held]).tolist(), [y for _, y in held], strict=True)
     if model is None or not pairs:
         return model, float("inf")
     pairs.sort(reverse=True)
