@@ -60,10 +60,12 @@ _NOT_STREETS = frozenset("covers of in the and for to per more about like with a
 
 _EMAIL = re.compile(rf"(?<![\w.+\-])[\w.+\-]*\w\+?{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,24}}\b|(?<![\w.+\-])[\w.+\-]*\w\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*\s+dot\s+[a-z]{{2,24}}\b", re.I)
 _UNIT = r"(?:(?:flat|apt|apartment|unit|suite)\.?\s\d+[a-z]?,?\s+)?"
-_TAIL = r"(?:,?\s+(?:flat|apt|apartment|unit|suite)\.?\s\d+[a-z]?\b)?"
+#: A unit, and a town that starts with a capital, with or without a code.
+_TOWN = r"(?:,?\s(?-i:(?=[A-Z]))[^\W\d_]{3,}(?:\s\d{4,6}\b)?(?=[\s.,;)\"'!?]|$))?"
+_TAIL = r"(?:,?\s+(?:flat|apt|apartment|unit|suite)\.?\s\d+[a-z]?\b)?" + _TOWN.replace(",?", ",", 1)
 _NUMBERED = re.compile(rf"{_UNIT}\b(?P<no>\d{{1,5}}[a-z]?),?[ ](?P<words>(?:[^\W\d_]+\.?[ ]){{1,3}}){_STREET}\b(?P<end>\.?){_TAIL}", re.I)
 _STRASSE = re.compile(r"\b[^\W\d_]{3,}(?:weg|strasse|straße|gasse|allee|platz|gatan|vägen|straat|laan)\.?\s\d{1,4}[a-z]?\b(?:,\s\d{4,5}\s[^\W\d_]+)?", re.I)
-_RUE = re.compile(r"\b(?:\d{1,4},?\s)?(?:rue|calle|rua|avenida|impasse|chemin)\s(?:(?:de|du|des|del|da|do|dos|la|le|les|los)\s|d'|l')*[^\W\d_]+(?:\s\d{1,4}[a-z]?\b)?", re.I)
+_RUE = re.compile(r"\b(?:\d{1,4},?\s)?(?:rue|calle|rua|avenida|impasse|chemin)\s(?:(?:de|du|des|del|da|do|dos|la|le|les|los)\s|d'|l')*[^\W\d_]+(?:\s\d{1,4}[a-z]?\b)?" + _TOWN.replace(",?", ",", 1), re.I)
 _BEFORE_NO_ADDRESS = re.compile(r"\b(?:chapter|section|page|part|step|figure|table|volume|episode|lesson|line|row|version|build|level|item|ticket)\s$", re.I)
 _ID = [
     re.compile(p, re.I)
@@ -133,16 +135,17 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
             yield m.start(), m.end()
         elif g and _SURNAME.match(g):
             yield m.start(), m.end("g")
-    at = 0 if (some := not GIVEN.isdisjoint(_LETTERS.findall(low))) else len(text)
+    some = not GIVEN.isdisjoint(_LETTERS.findall(low))
+    for m in _REVERSED.finditer(text) if some else ():
+        if m["g"].lower() in GIVEN and _SURNAME.match(m["s"]):
+            yield m.span("all")
+    at = 0 if some else len(text)
     while m := _FULL.search(text, at):
         if m["g"].lower() in GIVEN and _surname(m["g"], m["s"]):
             yield m.span()
             at = m.end()
         else:
             at = m.end("g")
-    for m in _REVERSED.finditer(text) if some else ():
-        if m["g"].lower() in GIVEN and _SURNAME.match(m["s"]):
-            yield m.span("all")
     for m in _INITIALS.finditer(text) if "." in text else ():
         if m["s"][0].isupper() and _SURNAME.match(m["s"]) or m["s"].islower() and m[0][0].islower() and re.fullmatch(r"(?:[^\W\d_]\.\s?){1,3}" + _WORD, m[0]) and _SURNAME.match(m["s"]):
             yield m.span()
