@@ -75,7 +75,7 @@ def state_of(log: DataFrame, key: str = "id", order: str = "seq", op: str = "op"
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns if c not in merged]
     parts = [F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order, c)))).alias(c) for c in merged]
     folded = rows.groupBy(key).agg(*last, *parts)
-    return folded.select(key, *[merge_json(F.transform(F.col(c), lambda x, c=c: x[c])).alias(c) if c in merged else F.col(c) for c in columns])
+    return folded.select(key, *[merge_json(F.col(c)[c]).alias(c) if c in merged else F.col(c) for c in columns])
 
 
 def _by(key: str):  # noqa: ANN202

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from memloom.operators import filters, mutations, schema
+from memloom.session import cut
 
 
 class MemoryStore:
@@ -65,15 +66,15 @@ class MemoryStore:
 
     def delete(self, entity: str, ids: DataFrame) -> None:
         """End records; ids that don't exist are no error. Links of deleted items and categories go with them."""
-        self.append(entity, ids.select("id"), "delete")
+        ids = cut(ids.select("id"), "deleted")  # the ids may be read from the very tables that change now
+        self.append(entity, ids, "delete")
         field = {"memory_items": "item_id", "memory_categories": "category_id"}.get(entity)
         if field:
             self.append("category_items", self.table("category_items").join(ids.select(F.col("id").alias(field)), field, "left_semi").select("id"), "delete")
 
     def clear(self, entity: str, where: Mapping[str, Any] | None = None) -> DataFrame:
         """Remove a scope's rows, all without conditions, and return them."""
-        gone = self.table(entity, where).persist()
-        gone.count()
+        gone = cut(self.table(entity, where), "cleared")
         self.delete(entity, gone)
         return gone
 
@@ -83,7 +84,7 @@ class MemoryStore:
     def compact(self, entity: str, to: str) -> None:
         """Write the state as a log of puts under another path."""
         state = self.table(entity)
-        state.withColumns({"seq": F.unix_micros(F.coalesce("updated_at", "created_at")), "op": F.lit("put")}).select(*self.log_schema(entity).fieldNames()).write.parquet(f"{to}/{entity}")
+        state.withColumns({"seq": F.unix_micros(F.coalesce("updated_at", "created_at", F.current_timestamp())), "op": F.lit("put")}).select(*self.log_schema(entity).fieldNames()).write.parquet(f"{to}/{entity}")
 
     def validate(self) -> None:
         for entity in schema.CORE:

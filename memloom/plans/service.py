@@ -16,6 +16,7 @@ from memloom.operators.schema import MEMORY_TYPES
 from memloom.operators.store import MemoryStore
 from memloom.plans import prompts
 from memloom.plans.pipeline import Context, Pipelines, Runners, Stage, StageHooks, stage
+from memloom.session import cut
 
 
 @dataclass
@@ -140,15 +141,14 @@ class MemoryService:
         extra = F.to_json(F.struct("content_hash", F.lit(1).alias("reinforcement_count"), "when_to_use"))
         items = rows.withColumn("id", ident).groupBy("id").agg(*[F.min(c).alias(c) for c in ("resource_id", "memory_type", "summary", "content_hash", "when_to_use", *self.scope)], F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
         items = items.withColumns({"created_at": now, "updated_at": now, "embedding": self.models.embed(F.col("summary")), "extra": extra})
-        path = f"{self.store.path}/_staged/{abs(hash(str(st['user'])))}-{self.store.spark.sparkContext.applicationId}-{id(st)}"
-        items.write.mode("overwrite").parquet(path)  # model answers are asked for once
-        items = self.store.spark.read.parquet(path)
+        items = cut(items, "items")  # model answers are asked for once
         fresh = items.join(self.store.table("memory_items").select("id"), "id", "left_anti")
+        fresh = cut(fresh, "fresh")
         again = items.join(self.store.table("memory_items").select("id", F.col("extra").alias("old")), "id")
         count = F.coalesce(F.get_json_object("old", "$.reinforcement_count").cast("int"), F.lit(1)) + 1
         self.store.append("memory_items", again.select("id", now.alias("updated_at"), F.to_json(F.struct(count.alias("reinforcement_count"), now.alias("last_reinforced_at"))).alias("extra")), "patch")
         named = links.category_ids(items.select("id", "names", *self.scope), categories, self.scope)
-        relations = named.select(F.sha2(F.concat_ws("|", F.lit("link"), F.col("id"), "category_id"), 256).alias("id"), F.col("id").alias("item_id"), "category_id").join(items.select(F.col("id").alias("item_id"), *self.scope), "item_id")
+        relations = cut(named.select(F.sha2(F.concat_ws("|", F.lit("link"), F.col("id"), "category_id"), 256).alias("id"), F.col("id").alias("item_id"), "category_id").join(items.select(F.col("id").alias("item_id"), *self.scope), "item_id"), "relations")
         self.store.append("category_items", relations.withColumns({"created_at": now, "updated_at": now}).join(self.store.table("category_items").select("id"), "id", "left_anti"))
         self.store.append("memory_items", fresh.drop("names", "content_hash", "when_to_use"))
         return {"new_resources": new_resources, "items": items.drop("names"), "relations": relations, "categories": categories}
@@ -293,24 +293,20 @@ class MemoryService:
 
     def _kept(self, ids: DataFrame) -> DataFrame:
         """Texts before a change, read before it is written."""
-        now = self.store.table("memory_items").join(ids.select("id"), "id", "left_semi").select("id", F.col("summary").alias("before")).persist()
-        now.count()
-        return now
+        return cut(self.store.table("memory_items").join(ids.select("id"), "id", "left_semi").select("id", F.col("summary").alias("before")), "before")
 
     def _delete(self, st: dict, _: Context) -> dict:
         old = self._kept(st["items"])
-        mine = self.store.table("category_items").join(old.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("item_id", "category_id").persist()
-        mine.count()
+        mine = cut(self.store.table("category_items").join(old.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("item_id", "category_id"), "links")
         self.store.delete("memory_items", old.select("id"))
         return {"changes": mine.join(old.withColumnRenamed("id", "item_id"), "item_id").withColumns({"after": F.lit(None).cast("string"), "change": F.lit("unlink")})}
 
     def _relink(self, st: dict, old: DataFrame | None, texts: DataFrame) -> DataFrame:
         """(item_id, category_id, change, before, after); a null text means the item isn't in the category on that side."""
         now = F.current_timestamp()
-        have = self.store.table("category_items").join(texts.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("id", "item_id", "category_id").persist()
-        have.count()
+        have = cut(self.store.table("category_items").join(texts.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("id", "item_id", "category_id"), "links")
         wanted = st.get("categories") if st.get("categories") is not None else have
-        changes = links.membership_changes(have, wanted)
+        changes = cut(links.membership_changes(have, wanted), "changes")
         ident = F.sha2(F.concat_ws("|", F.lit("link"), "item_id", "category_id"), 256)
         self.store.append("category_items", changes.filter("change = 'link'").select(ident.alias("id"), "item_id", "category_id", now.alias("created_at"), now.alias("updated_at")))
         self.store.append("category_items", have.join(changes.filter("change = 'unlink'"), ["item_id", "category_id"], "left_semi").select("id"), "delete")
