@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from memloom.functions import text, vectors
 from memloom.models import client
 from memloom.operators import filters, links, mutations, ranking, tools
+from memloom.operators.store import MemoryStore
 from memloom.plans import prompts
-from memloom.plans.service import with_extra
-from memloom.session import load
+from memloom.plans.service import MemoryService, Settings, with_extra
+from memloom.session import load, scratch_path
 from memloom.sources import files
+from memloom.streaming import triggers
 
 AS_OF = "2026-01-01 00:00:00"
 
@@ -357,11 +359,51 @@ def local_texts(s, d):  # noqa: ANN001, ANN201
     return found.select(text.file_name(F.col("url"), F.lit("document")).alias("name"), F.col("size").cast("bigint").alias("size"))
 
 
+# pipelines and streams
+
+_STUB = {
+    "Answer with one <item>": "<item><memory><content>Keeps the yard tidy</content><categories><category>preferences</category></categories></memory><memory><content>Met a friend</content><categories><category>people</category><category>events</category></categories></memory></item>",
+    "Rewrite the category": "# summary",
+}
+
+
+def memorize_stub(s, d):  # noqa: ANN001, ANN201
+    """Every conversation as a resource of its user, through the whole writing pipeline with a stub model."""
+    turns = load(s, d, "conv1").select("conv_id", "turn", "role", "content", "user_id").distinct().groupBy("conv_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    batch = turns.select(F.concat(F.lit("/in/"), "conv_id", F.lit(".json")).alias("url"), F.lit("conversation").alias("modality"), F.to_json(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("raw_text"))
+    store = MemoryStore(s, scratch_path(s, "store"))
+    MemoryService(store, client.stub_factory(16, _STUB), Settings(reinforce=True)).memorize(batch, {"user_id": "u"})
+    counts = [store.table(e).groupBy().agg(F.count("*").alias("n")).select(F.lit(e).alias("entity"), "n") for e in ("resources", "memory_items", "memory_categories", "category_items")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+def _streamed(s: SparkSession, d: str, table: str, name: str, shape, complete: bool = False) -> DataFrame:  # noqa: ANN001
+    """A table read as a stream until it is at its end; micro-batches go to a scratch table."""
+    whole = load(s, d, table)
+    stream = s.readStream.schema(whole.schema).parquet(f"{d}/{table}*.parquet")
+    out = scratch_path(s, name)
+    put = lambda df, n: df.write.mode("overwrite" if complete else "append").parquet(out)
+    q = shape(stream).writeStream.outputMode("complete" if complete else "append").option("checkpointLocation", scratch_path(s, f"{name}-log")).trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    return s.read.parquet(out)
+
+
+def stream_count_trigger(s, d):  # noqa: ANN001, ANN201
+    """Batches of at least two messages as they come; a single one waits for the next."""
+    got = _streamed(s, d, "conv1", "batches", lambda m: triggers.message_batches(m.filter("role IS NOT NULL"), 2, None))
+    return got.groupBy("conv_id").agg(F.sum("n").alias("n_messages"), F.max("last_turn").alias("last_turn"))
+
+
+def stream_window_counts(s, d):  # noqa: ANN001, ANN201
+    got = _streamed(s, d, "events", "windows", lambda e: triggers.late_tolerant_counts(e.withColumn("ts", F.col("ts").cast("timestamp"))), complete=True)
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
 _NAMES = """scope_eq scope_in scope_none_skipped project_no_embedding point_lookup links_of_item items_by_ref_id score_threshold_limit cosine_topk cosine_all topk_per_scope salience_topk
 salience_score recency_decay rag_category_tier rag_item_tier rag_resource_tier rag_three_tier content_hash dedupe_reinforce reinforce_by_scope latest_state tombstone_delete clear_scope
 category_get_or_create link_idempotent links_without_dangling category_items_semi resources_for_items llm_rank_join_order category_name_map category_membership_diff category_updates category_lines
 extract_refs strip_refs cite_refs short_ref_id ref_writeback reference_map conversation_format last_user_message inject_context segment_slice json_blob tag_content decision_parse filename_from_url
-segment_url patch_parse category_summary_prompt format_scores tool_stats tool_stats_recent_n tool_call_hash llm_call_stats embed_stub local_texts"""
+segment_url patch_parse category_summary_prompt format_scores tool_stats tool_stats_recent_n tool_call_hash llm_call_stats embed_stub local_texts memorize_stub stream_count_trigger stream_window_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _Q = """q AS (SELECT embedding::DOUBLE[] AS q FROM memory_items WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -458,5 +500,7 @@ SQL = {
     "tool_stats_recent_n": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events), g AS (SELECT user_id, any_value(n) AS n, count(*) AS m, {_STATS} FROM r WHERE r <= 20 GROUP BY 1) SELECT user_id, n AS total_calls, m AS recent_calls_analyzed, round(a, 6) AS avg_time_cost, round(s, 6) AS success_rate, round(c, 6) AS avg_score, round(t, 6) AS avg_token_cost FROM g",
     "tool_call_hash": "SELECT event_id, md5(event_type || '|' || props || '|' || user_id) AS call_hash FROM events",
     "llm_call_stats": "SELECT event_type AS operation, count(*) AS n_calls, count(*) FILTER (value > 100) AS n_errors, sum(length(props))::BIGINT AS chars, round(avg(value), 6) AS avg_seconds FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1",
+    "stream_count_trigger": "SELECT conv_id, count(*)::BIGINT AS n_messages, max(turn) AS last_turn FROM conv1 WHERE role IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
+    "stream_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "embed_stub": "SELECT id, 16::BIGINT AS dimensions FROM memory_categories WHERE length(summary) > 0",
 }

@@ -59,10 +59,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def null_safe_eq(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
 def hot_join(rows: DataFrame, dim: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``dim`` (unique on ``keys``; ``count`` = rows with that key).
 

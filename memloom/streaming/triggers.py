@@ -14,9 +14,12 @@ BATCH = "conv_id bigint, batch bigint, n bigint, first_turn bigint, last_turn bi
 _STATE = "batch bigint, turns array<bigint>, lines array<string>"
 
 
-def message_batches(messages: DataFrame, least: int = 2, idle_ms: int = 60_000) -> DataFrame:
+def message_batches(messages: DataFrame, least: int = 2, idle_ms: int | None = 60_000) -> DataFrame:
     """Batches of at least ``least`` messages (conv_id, turn, role, content) of one conversation; what is left goes after ``idle_ms`` without a new one.
 
+    With ``idle_ms`` None it waits in the state for the next message, also across runs; a stream that is to end when it
+    has read what there is needs that, since time never runs out by itself.
+
     The state of a conversation is what hasn't left yet, so it stays small however long the conversation is.
     """
 
@@ -32,15 +35,16 @@ def message_batches(messages: DataFrame, least: int = 2, idle_ms: int = 60_000)
             yield pd.DataFrame({"conv_id": [key[0]], "batch": [number], "n": [len(turns)], "first_turn": [min(turns)], "last_turn": [max(turns)], "text": ["\n".join(lines)]})
             number, turns, lines = number + 1, [], []
         state.update((number, turns, lines))
-        if turns:
+        if turns and idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
 
-    return messages.select("conv_id", "turn", "role", "content").groupBy("conv_id").applyInPandasWithState(run, BATCH, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.select("conv_id", "turn", "role", "content").groupBy("conv_id").applyInPandasWithState(run, BATCH, _STATE, "append", timeout)
 
 
 def memorise_stream(messages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, least: int = 2, once: bool = True) -> StreamingQuery:
     """Every micro-batch of message batches goes to ``sink``; with ``once`` the stream ends when it has read what there is."""
-    writer = message_batches(messages, least).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    writer = message_batches(messages, least, None if once else 60_000).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
