@@ -15,23 +15,18 @@ from memloom.functions import text
 from memloom.operators import filters
 
 
-@F.pandas_udf(T.StringType())
-def merge_json(parts: pd.Series) -> pd.Series:
-    """Objects merged from the first to the last, key by key."""
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])))
+def json_members(objects: pd.Series) -> pd.Series:
+    """Keys and values of JSON objects, both as JSON; nothing for what is no object."""
 
-    def merged(some: list[str] | None) -> str | None:
-        if some is None or not len(some):
-            return None
-        out: dict[str, Any] = {}
-        for part in some:
-            try:
-                value = json.loads(part) if part else {}
-            except ValueError:
-                continue
-            out |= value if isinstance(value, dict) else {}
-        return json.dumps(out)
+    def members(raw: str | None) -> list[dict[str, str]]:
+        try:
+            value = json.loads(raw) if raw else {}
+        except ValueError:
+            return []
+        return [{"k": json.dumps(k), "v": json.dumps(v)} for k, v in value.items()] if isinstance(value, dict) else []
 
-    return parts.map(merged)
+    return objects.map(members)
 
 
 def reinforced(items: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -68,20 +63,21 @@ def state_of(log: DataFrame, key: str = "id", order: str = "seq", op: str = "op"
     A put starts a record anew, a patch changes its non-null columns, a delete ends it;
     ``merged`` columns hold JSON objects that patches merge key by key.
     """
-    columns = [c for c in log.columns if c not in (key, order, op)]
-    start = F.max(F.when(F.col(op) != "patch", F.col(order))).over(_by(key))
-    alive = F.max(F.when(F.col(op) != "patch", F.struct(F.col(order), F.col(op).alias("o")))).over(_by(key))["o"] == "put"
-    rows = log.withColumn("__start", start).withColumn("__alive", alive).filter("__alive").filter(F.col(order) >= F.col("__start"))
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns if c not in merged]
-    parts = [F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order, c)))).alias(c) for c in merged]
-    folded = rows.groupBy(key).agg(*last, *parts)
-    return folded.select(key, *[merge_json(F.col(c)[c]).alias(c) if c in merged else F.col(c) for c in columns])
-
-
-def _by(key: str):  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
+    columns = [c for c in log.columns if c not in (key, order, op, *merged)]
+    start = F.max(F.when(F.col(op) != "patch", F.struct(order, op))).alias("__start")
+    # the last value of a column counts if it isn't older than the last start: one aggregation, combined on the map side
+    last = [F.max_by(F.struct(order, c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    folded = log.groupBy(key).agg(start, *last).filter(F.col(f"__start.{op}") == "put")
+    since = F.col(f"__start.{order}")
+    state = folded.select(key, since.alias("__since"), *[F.when(F.col(f"{c}.{order}") >= since, F.col(f"{c}.{c}")).alias(c) for c in columns])
+    for c in merged:
+        # JSON is merged key by key the same way, so a record with many patches is as small as its keys
+        parts = log.filter(F.col(c).isNotNull()).select(key, order, F.explode(json_members(F.col(c))).alias("m"))
+        newest = parts.groupBy(key, F.col("m.k").alias("__k")).agg(F.max_by(F.struct(order, "m.v"), order).alias("__v"))
+        alive = newest.join(state.select(key, "__since"), key).filter(F.col(f"__v.{order}") >= F.col("__since"))
+        text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__v.v"))), lambda x: F.concat(x["__k"], F.lit(": "), x["v"])), ", ")
+        state = state.join(alive.groupBy(key).agg(F.concat(F.lit("{"), text_of, F.lit("}")).alias(c)), key, "left")
+    return state.select(key, *[c for c in log.columns if c not in (key, order, op)])
 
 
 def without_deleted(rows: DataFrame, deletions: DataFrame, key: str = "id", deleted: str = "record_id") -> DataFrame:
