@@ -502,5 +502,18 @@ SQL = {
     "llm_call_stats": "SELECT event_type AS operation, count(*) AS n_calls, count(*) FILTER (value > 100) AS n_errors, sum(length(props))::BIGINT AS chars, round(avg(value), 6) AS avg_seconds FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1",
     "stream_count_trigger": "SELECT conv_id, count(*)::BIGINT AS n_messages, max(turn) AS last_turn FROM conv1 WHERE role IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "stream_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "segment_slice": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, array_to_string(l[least(2, len(l) - 1) + 1:least(5, len(l) - 1) + 1], chr(10)) AS t FROM l) SELECT doc_id, CASE WHEN length("
+    + _trim("t")
+    + ") > 0 THEN md5(t) END AS digest FROM p",
+    "format_scores": f"WITH {_Q} SELECT id, 'item: ' || coalesce(summary, '') || chr(10) || 'Score: ' || printf('%.3f', score) AS line FROM {_top('memory_items', 5)}",
+    "category_summary_prompt": f"""SELECT c.id AS category_id, {len(prompts.CATEGORY_SUMMARY.format(target_length=400))} + length(chr(10) || chr(10) || 'Category: ' || name || chr(10) || chr(10) || 'Summary so far:' || chr(10) || coalesce(c.summary, '') || chr(10) || chr(10) || 'New items:' || chr(10)) + u.n AS chars
+      FROM memory_categories c JOIN (SELECT category_id, coalesce(sum(2 + length(summary)), 0)::BIGINT + greatest(count(summary) - 1, 0) AS n FROM (SELECT DISTINCT category_id, item_id FROM category_items) l JOIN memory_items i ON i.id = l.item_id GROUP BY 1) u ON u.category_id = c.id""",
+    "conversation_format": "WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, regexp_replace(coalesce(content, ''), '"
+    + r"\r\n|[\n\x0B\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+    + "', ' ', 'g') AS c FROM t) SELECT conv_id, count(*) AS n, md5(string_agg('[' || i || '] [' || coalesce(nullif("
+    + _trim("role")
+    + ", ''), 'user') || ']: ' || "
+    + _trim("c")
+    + ", chr(10) ORDER BY i)) AS digest FROM n GROUP BY 1",
     "embed_stub": "SELECT id, 16::BIGINT AS dimensions FROM memory_categories WHERE length(summary) > 0",
 }
