@@ -53,7 +53,7 @@ def cosine_to(column: Column, query: list[float]) -> Column:
             out[ok] = m @ q / (np.sqrt(np.einsum("ij,ij->i", m, m)) * length + EPSILON)
         return pa.array(out, pa.float64(), mask=~ok)
 
-    return run(column)
+    return run.asNondeterministic()(column)  # else a filter on the score computes it a second time
 
 
 def reinforcement(count: Column) -> Column:

@@ -258,7 +258,7 @@ class ClientFactory:
             for b in batches:
                 yield b.map(lambda p: client.call("chat", p, system), na_action="ignore")
 
-        return run(prompt)
+        return run.asNondeterministic()(prompt)  # a model is asked once, wherever the answer is used
 
     def embed(self, text: Column, profile: str = "default") -> Column:
         """The vector of every text, a batch of texts a call; null for null and blank."""
@@ -273,7 +273,7 @@ class ClientFactory:
                     out[some] = pd.Series(client.call("embed", b[some].tolist()), index=b.index[some])
                 yield out
 
-        return run(text)
+        return run.asNondeterministic()(text)
 
     def media(self, content: Column, name: Column, operation: str, prompt: str = "", profile: str = "default") -> Column:
         """vision or transcribe over binary contents."""
@@ -293,7 +293,7 @@ class ClientFactory:
                         out.append(client.call("transcribe", bytes(d), str(n), prompt or None))
                 yield pd.Series(out)
 
-        return run(content, name)
+        return run.asNondeterministic()(content, name)
 
 
 def call_statistics(log: DataFrame) -> DataFrame:

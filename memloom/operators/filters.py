@@ -38,7 +38,7 @@ def condition(where: Mapping[str, Any] | None) -> Column:
             raise ValueError(f"unknown operator {op!r}")
         several = op == "in" and not isinstance(value, str)
         parts.append(F.col(field).isin(list(value)) if several else F.col(field) == F.lit(value))
-    return F.coalesce(all_of(parts), F.lit(False))
+    return all_of(parts)
 
 
 def where(df: DataFrame, conditions: Mapping[str, Any] | None) -> DataFrame:
@@ -51,7 +51,8 @@ def where(df: DataFrame, conditions: Mapping[str, Any] | None) -> DataFrame:
 
 def split(df: DataFrame, conditions: Mapping[str, Any] | None) -> tuple[DataFrame, DataFrame]:
     """Rows that meet the conditions, and the others; nulls are among the others."""
-    return df.filter(condition(conditions)), df.filter(~condition(conditions))
+    met = condition(conditions)
+    return df.filter(met), df.filter(~F.coalesce(met, F.lit(False)))
 
 
 def without_embedding(df: DataFrame) -> DataFrame:
