@@ -30,10 +30,10 @@ from memloom.session import cut
 
 DIMENSIONS = 64
 #: Curves, projected dimensions and bits of each (their product is a key of 48 bits), and the seed.
-CURVES, PROJECTED, BITS, SEED = 12, 24, 2, 7
+CURVES, PROJECTED, BITS, SEED = 16, 24, 2, 7
 SAMPLE = 131_072
 #: Vectors of a block, and on which side of a vector how many are compared.
-BLOCK, WINDOW = 20_000, 400
+BLOCK, WINDOW = 20_000, 600
 #: For k nearest: curves, vectors of a block, share of all vectors compared on each curve.
 NEAREST_CURVES, NEAREST_BLOCK, NEAREST_SHARE = 10, 8_192, 0.1
 #: Cosines of 8-bit vectors err by less than this.
