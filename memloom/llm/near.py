@@ -5,8 +5,10 @@ them reach the threshold exactly if they share a subset of the overlap their siz
 demand. Larger sets scan inverted lists, those of light (rare) words only; what is
 left are pairs without a common light word, and those may differ in so few of
 their heavy words that of as many parts as allowed differences, plus one, some part -
-again a subset, of the heavy words - is the same in both. Both boundaries, of sizes
-and of word frequencies, are chosen by cost from the size and frequency histograms.
+again a subset, of the heavy words - is the same in both; or, of half as many and so
+larger parts, some part is the same up to one word. The boundaries of sizes and
+of word frequencies and the kind of parts are chosen by cost, from the size and
+frequency histograms, one counting pass and the words of at most SAMPLE sets.
 
 Within a list only pairs pass whose parity sketches, of 64 and then of 128 bits, differ in no more bits
 than the sets may differ in words, which no true pair fails; what passes is verified on the words.
@@ -47,6 +49,8 @@ GROUP, CHUNK = 30_000, 150_000
 LONG, BLOCK = 96, 128
 #: Candidate pairs up to which the sets they need are fetched by broadcast.
 FEW_PAIRS = 500_000
+#: Sets whose words tell how often parts meet by chance. It only steers the cost; what is found doesn't depend on it.
+SAMPLE = 1_000
 #: 1 of so many rows is counted to find long lists.
 COUNTED = 16
 _KEYED = "key bigint, side tinyint, set bigint, size int, fa bigint, fb bigint"
@@ -76,32 +80,51 @@ class Plan:
         self.slack = (1 - threshold) / (1 + threshold)  # of the summed sizes, the most two sets may differ in
         self.sets = max(1, sum(sizes.values()))
         checks, heavy, budget = 0.0, sum(w for _, w in counts), [c * self.sets for c in CHECKS]
-        #: (highest frequency of a light word, number of heavy words, pair checks), ascending
+        #: (highest frequency of a light word, number of heavy words, pair checks in lists of light words), ascending
         self.choices: list[tuple[int, int, float]] = []
         for k, (f, w) in enumerate(counts):
             checks, heavy = checks + w * f * f / 2, heavy - w
-            last = k + 1 == len(counts) or (checks + counts[k + 1][1] * counts[k + 1][0] ** 2 / 2 > budget[0])
-            if heavy <= HEAVY and last:
+            after = checks + counts[k + 1][1] * counts[k + 1][0] ** 2 / 2 if k + 1 < len(counts) else float("inf")
+            if heavy > HEAVY or not any(checks <= c < after for c in budget) and after <= budget[0]:
+                continue
+            if self.choices and checks > budget[-1]:
+                break
+            if any(checks <= c < after for c in budget) or not self.choices:
                 self.choices.append((f, heavy, checks))
-                while len(budget) > 1 and k + 1 < len(counts) and checks + counts[k + 1][1] * counts[k + 1][0] ** 2 / 2 > budget[0]:
-                    budget.pop(0)
-        self.choices = self.choices or [(0, 0, 0.0)]
+        self.choices = self.choices or [(0, sum(w for _, w in counts), 0.0)]
         self.light, self.heavy, _ = self.choices[0]
         # a small set may have as many subsets as it has words, so that it costs no more rows than its lists would
         self.small = max((s for s in range(1, 13) if self.subsets(s) <= s + 1), default=0)
         self.classes: list[int] = []
-
-    def choose(self, met: dict[int, dict[int, int]], lists: dict[int, int]) -> None:
-        """Settle the frequency boundary; ``met``: sets by spare, ``lists``: rows of light words, for each choice."""
-
-        def cost(k: int) -> float:
-            parts = sum(n * sum(q + o + 1 for o in met[k] if q + o >= 0) for q, n in met[k].items())
-            return ROW_COST * (lists[k] + parts) + CHECK_COST * self.choices[k][2]
-
-        if met:
-            best = min(met, key=lambda k: (cost(k), k))
-            self.light, self.heavy, _ = self.choices[best]
-            self.classes = sorted(met[best])
+        self.one_off: set[tuple[int, int]] = set()
+
+    def choose(self, met: dict[int, dict[int, int]], lists: dict[int, int], sample: list[np.ndarray]) -> None:
+        """Settle the frequency boundary, and how the heavy words of each pair of classes are cut.
+
+        ``met``: sets by spare, ``lists``: rows of light words, for each choice; ``sample``: the ranks of the words of some sets.
+        """
+        best = float("inf")
+        for k in sorted(met):
+            light, heavy, checks = self.choices[k]
+            ranks = [np.sort(r[(r >= 0) & (r < heavy)]) for r in sample]
+            words = sum(map(len, ranks)) / max(1, len(ranks))
+            cost, off = ROW_COST * lists[k] + CHECK_COST * checks, set()
+            seen: dict[int, tuple[float, float]] = {}
+            for q, n in met[k].items():
+                for o, m in met[k].items():
+                    r = q + o
+                    if r < 0 or o < q:
+                        continue
+                    if r not in seen:
+                        seen[r] = (_meetings(ranks, r + 1, False), _meetings(ranks, r // 2 + 1, True))
+                    pairs, rows = (n * m / 2 if q == o else n * m), (n if q == o else n + m)
+                    whole = ROW_COST * rows * (r + 1) + CHECK_COST * pairs * seen[r][0]
+                    less = ROW_COST * rows * (r // 2 + 1 + words) + CHECK_COST * pairs * seen[r][1]
+                    cost += min(whole, less)
+                    if less < whole:
+                        off.add((q, o))
+            if cost < best:
+                best, self.light, self.heavy, self.classes, self.one_off = cost, light, heavy, sorted(met[k]), off
 
     def overlap(self, a: int, b: int) -> int:
         return ceil(self.threshold / (1 + self.threshold) * (a + b))
@@ -119,6 +142,22 @@ class Plan:
         return -((q * light - p * size) // q)
 
 
+def _meetings(ranks: list[np.ndarray], parts: int, one_off: bool) -> float:
+    """How often two sets of the sample meet in a part, on average; with ``one_off`` also in what is left of it without one word."""
+    n = len(ranks)
+    if n < 2:
+        return 0.0
+    own, flat = np.repeat(np.arange(n), [len(r) for r in ranks]), np.concatenate(ranks)
+    cell, word = own * parts + flat % parts, _mix(flat.astype(np.uint64) + np.uint64(1))
+    content = np.zeros(n * parts, np.uint64)
+    np.add.at(content, cell, word)
+    keys = _mix(content + np.tile(np.arange(parts, dtype=np.uint64), n))
+    if one_off:
+        keys = np.concatenate([keys, _mix(content[cell] - word + (cell % parts).astype(np.uint64))])
+    times = np.unique(keys, return_counts=True)[1].astype(float)
+    return float((times * (times - 1)).sum() / (n * (n - 1)))
+
+
 class Splitter:
     """Turns sets into rows of lists."""
 
@@ -135,6 +174,11 @@ class Splitter:
         rank = np.where(self.heavy[0][at] == flat, self.heavy[1][at], -1) if len(self.heavy[0]) else np.full(len(flat), -1)
         return flat, size, own, np.where(rank < self.plan.heavy, rank, -1)
 
+    def ranks(self, words: pa.Array) -> list[np.ndarray]:
+        """The ranks of the heavy words of every set, -1 for a light one."""
+        _, size, _, rank = self.measure(pa.RecordBatch.from_arrays([words], ["words"]))
+        return np.split(rank, np.cumsum(size)[:-1]) if len(size) else []
+
     def classes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(choice, spare, sets, rows of lists), for every choice of the frequency boundary."""
         plan = self.plan
@@ -184,18 +228,25 @@ class Splitter:
             place[of] = np.arange(len(of))
             mine = heavy[spare[own[heavy]] == q]
             for other in plan.classes:
-                parts = int(q) + other + 1
-                if parts < 1:
+                spare_words = int(q) + other
+                if spare_words < 0:
                     continue
+                one_off = (min(q, other), max(q, other)) in plan.one_off
+                parts = spare_words // 2 + 1 if one_off else spare_words + 1
+                side = 0 if q == other else 1 if q < other else 2
                 cell = place[own[mine]] * parts + rank[mine] % parts
                 content = np.zeros(len(of) * parts, np.uint64)
                 np.add.at(content, cell, mixed[mine])
-                filled = np.bincount(cell, minlength=len(content)).reshape(-1, parts) > 0
-                # with a filled part more than may differ, an empty one isn't needed
-                take = filled | (filled.sum(axis=1) < parts)[:, None]
-                label = np.uint64((min(q, other) & 0xFFFF) << 32 | (max(q, other) & 0xFFFF) << 16) + np.arange(parts, dtype=np.uint64)
-                key = _mix(_mix(content).reshape(-1, parts) + _mix(label)[None, :])
-                put(key[take], 0 if q == other else 1 if q < other else 2, np.repeat(of, parts).reshape(-1, parts)[take])
+                count = np.bincount(cell, minlength=len(content))
+                # if every part has a word more than may be missing from it, the part that meets isn't empty, and empty ones aren't needed
+                empty_too = (count.reshape(-1, parts) <= one_off).any(axis=1)
+                label = _mix(np.uint64((min(q, other) & 0xFFFF) << 32 | (max(q, other) & 0xFFFF) << 16) + np.arange(parts, dtype=np.uint64))
+                key = _mix(_mix(content).reshape(-1, parts) + label[None, :])
+                take = (count.reshape(-1, parts) > 0) | empty_too[:, None]
+                put(key[take], side, np.repeat(of, parts).reshape(-1, parts)[take])
+                if one_off:  # a part that differs in one word is the same without it
+                    left = (count[cell] > 1) | empty_too[cell // parts]
+                    put(_mix(_mix(content[cell] - mixed[mine]) + label[cell % parts])[left], side, own[mine][left])
         of = np.concatenate(sets)
         ids = b.column("set").to_numpy()
         cols = [np.concatenate(keys).view(np.int64), np.concatenate(sides), ids[of], size[of].astype(np.int32), whole[of].view(np.int64), half[of].view(np.int64)]
@@ -312,7 +363,9 @@ def similar_sets(sets: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     for r in sets.mapInArrow(splitter.classes, "k bigint, q bigint, n bigint, rows bigint").groupBy("k", "q").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect():
         met.setdefault(r.k, {})[r.q] = r.n
         lists[r.k] = lists.get(r.k, 0) + r.rows
-    plan.choose(met, lists)
+    some = sets.orderBy(F.xxhash64("set"), "set").select("words").limit(SAMPLE).toArrow().combine_chunks()["words"]
+    ranks = [r for c in some.chunks for r in splitter.ranks(c)]
+    plan.choose(met, lists, ranks)
     rows = _split_long(sets.mapInArrow(splitter.rows, _KEYED))
     met = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(plan.slack), "a bigint, b bigint").distinct()
     met = cut(met, "candidates")

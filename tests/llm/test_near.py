@@ -52,6 +52,25 @@ def test_against_all_pairs(spark, seed, sizes, vocab):
     assert found(spark, texts) == brute(texts)
 
 
+@pytest.mark.parametrize("kind", [True, False])
+def test_kinds_of_parts(spark, monkeypatch, kind):
+    """Only heavy words, and parts of one kind for all classes."""
+    choose = near.Plan.choose
+
+    def forced(plan, met, lists, sample):
+        choose(plan, {0: met[0]}, lists, sample)
+        plan.one_off = {(q, o) for q in plan.classes for o in plan.classes if q <= o} if kind else set()
+
+    monkeypatch.setattr(near.Plan, "choose", forced)
+    monkeypatch.setattr(near, "CHECKS", (1,))
+    for seed, sizes, vocab in ((5, (15, 40), 60), (6, (7, 16), 20)):
+        rng = random.Random(seed)
+        names = [f"w{i}" for i in range(vocab)]
+        base = [rng.sample(names, rng.randint(*sizes)) for _ in range(50)]
+        texts = [(f"{i}", " ".join(w)) for i, w in enumerate(base)] + [(f"e{i}", " ".join(edited(rng, rng.choice(base), names, rng.randrange(8)))) for i in range(120)]
+        assert found(spark, texts) == brute(texts)
+
+
 def test_long_lists_are_split(spark, monkeypatch):
     monkeypatch.setattr(near, "GROUP", 20)
     monkeypatch.setattr(near, "COUNTED", 1)
