@@ -393,13 +393,18 @@ def _collapsed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return members.select("id", "set"), sets.select("set", "words"), copies.select("set", "first", "n")
 
 
+def _linked_members(members: DataFrame, pairs: DataFrame, copies: DataFrame) -> tuple[DataFrame, bool]:
+    """Members (id, set) of the sets that are in a pair or have copies, and whether those sets are few."""
+    linked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(copies.select("set")).distinct()
+    few = linked.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+    return cut(members.join(F.broadcast(linked) if few else linked, "set", "left_semi").distinct(), "members"), few
+
+
 def near_pairs(df: DataFrame, key: str = "id", text: str = "summary", threshold: Fraction = THRESHOLD) -> DataFrame:
     """(id_a, id_b): every pair of records that reaches the threshold."""
     members, sets, copies = _collapsed(df, key, text)
     pairs = cut(similar_sets(sets, threshold).select("a", "b"), "pairs")
-    linked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(copies.select("set")).distinct()
-    few = linked.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
-    of = cut(members.join(F.broadcast(linked) if few else linked, "set", "left_semi").distinct(), "members")
+    of, _ = _linked_members(members, pairs, copies)
     a, b = of.select(F.col("id").alias("x"), F.col("set").alias("a")), of.select(F.col("id").alias("y"), F.col("set").alias("b"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y")
     within = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
@@ -411,7 +416,8 @@ def near_classes(df: DataFrame, key: str = "id", text: str = "summary", threshol
     members, sets, copies = _collapsed(df, key, text)
     pairs = cut(similar_sets(sets, threshold).select("a", "b"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    names = cut(members.distinct().groupBy("set").agg(F.min("id").alias("first"), F.count("*").alias("n")), "names")
+    of, few = _linked_members(members, pairs, copies)
+    names = cut(of.groupBy("set").agg(F.min("id").alias("first"), F.count("*").alias("n")), "names")
     linked = cut(both.join(names.select(F.col("set").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links")), "links")
     label = linked.select(F.col("a").alias("set")).join(names.select("set", F.col("first").alias("label")), "set")
     while True:  # every round halves the longest chain: a neighbour's label, then the label's label
@@ -422,5 +428,7 @@ def near_classes(df: DataFrame, key: str = "id", text: str = "summary", threshol
         if after.filter("label < was").isEmpty():
             break
         label = after.drop("was")
-    out = members.distinct().join(names, "set").join(label.select("set", "label"), "set", "left").join(linked.withColumnRenamed("a", "set"), "set", "left")
-    return out.select("id", F.coalesce("label", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    info = names.join(label.select("set", "label"), "set", "left").join(linked.withColumnRenamed("a", "set"), "set", "left")
+    info = info.select("set", F.coalesce("label", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    out = members.distinct().join(F.broadcast(info) if few else info, "set", "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
