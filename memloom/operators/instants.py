@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.session import hot_join, scratch_path
+from memloom.session import forget_at_exit, hot_join, scratch_path
 
 #: Instants that bare numbers may denote: from the first year up to, not including, the last.
 YEARS = (2024, 2026)
@@ -151,6 +151,8 @@ def normalise(df: DataFrame, raw: str, tz: str, out: str = "utc_us", dictionary:
     """``df`` with the column ``out``: the instant of ``raw`` in microseconds, null if it denotes none (such rows go with ``found_only``)."""
     d = dictionary or InstantDictionary(df.sparkSession, scratch_path(df.sparkSession, "instants"))
     d.add(df.select(F.col(raw).alias("raw"), F.col(tz).alias("tz")))
+    if dictionary is None:
+        forget_at_exit(df.sparkSession, d.path)
     known = d.read().filter("us IS NOT NULL")
     total = known.agg(F.sum("n")).first()[0] or 0
     known = known.select(F.col("raw").alias("__raw"), F.col("tz").alias("__tz"), F.col("us").alias(out), F.col("n").alias("__n"))

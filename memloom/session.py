@@ -41,6 +41,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/memloom/{name}-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what is there when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: the lineage ends here and survives lost executors.
 
@@ -49,8 +55,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
