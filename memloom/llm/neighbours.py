@@ -6,6 +6,10 @@ curve to curve, and orders the cells along a Hilbert curve. The curves are cut
 into blocks of neighbouring keys, one task's step each; inside, near positions are compared by matrix
 products of 8-bit vectors. What several curves find is merged and ranked again by exact cosines.
 
+Groups denser than the windows: a vector that meets DENSE others in its window on any curve marks its
+neighbourhood. Leaders are chosen until every marked vector is near one; all pairs of a vector near a leader
+and any other vector are then compared, in chunk pairs, where the triangle inequality says they can match.
+
 The rotations are random; the interval and block bounds are fitted on at most SAMPLE vectors, the
 first by a hash. Every vector is indexed on every curve.
 
@@ -34,6 +38,10 @@ CURVES, PROJECTED, BITS, SEED = 16, 24, 2, 7
 SAMPLE = 131_072
 #: Vectors of a block, and on which side of a vector how many are compared.
 BLOCK, WINDOW = 20_000, 600
+#: Matches in a vector's window from which its neighbourhood is compared whole, and the least cosine of a vector that a leader covers.
+DENSE, COVER = 30, 0.8
+#: Marked vectors that leaders are chosen from at a time, and vectors of a chunk.
+LEADERS, CHUNK = 4_096, 8_192
 #: For k nearest: curves, vectors of a block, share of all vectors compared on each curve.
 NEAREST_CURVES, NEAREST_BLOCK, NEAREST_SHARE = 10, 8_192, 0.1
 #: Cosines of 8-bit vectors err by less than this.
@@ -141,7 +149,7 @@ def _fit(different: DataFrame, total: int, curves: int, block: int) -> Curves:
     return Curves(np.concatenate(some) if some else np.empty((0, DIMENSIONS), np.float32), total, curves, block)
 
 
-def _by_block(work: Callable[[list[pa.RecordBatch]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _by_block(work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Hands every block over once it is complete; rows come sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,36 +162,130 @@ def _by_block(work: Callable[[list[pa.RecordBatch]], pa.RecordBatch | None]) ->
                 if hi == lo:
                     continue
                 if cell[lo] != at and held:
-                    if (out := work(held)) is not None:
-                        yield out
+                    yield from work(held)
                     held = []
                 at = cell[lo]
                 held.append(b.slice(lo, hi - lo))
-        if held and (out := work(held)) is not None:
-            yield out
+        if held:
+            yield from work(held)
 
     return run
 
 
-def _pairs_in(least: float) -> Callable[[list[pa.RecordBatch]], pa.RecordBatch | None]:
-    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _pairs_in(least: float) -> Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs within the windows; a vector with DENSE matches is given with itself, and its other pairs are left to ``_dense_pairs``."""
+
+    def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec = np.concatenate([r.column("vec").to_numpy() for r in rows])
         unit = _unpacked([r.column("packed") for r in rows])
-        a, b = [], []
+        met = np.zeros(len(vec), np.int64)
         for lo in range(0, len(vec), WINDOW):
             near = unit[lo : lo + 2 * WINDOW]
             i, j = np.nonzero(unit[lo : lo + WINDOW] @ near.T >= least - MARGIN)
-            keep = (j > i) & (j - i <= WINDOW)
-            a.append(vec[lo + i[keep]])
-            b.append(vec[lo + j[keep]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if not len(a):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            keep = j > i
+            i, j = lo + i[keep], lo + j[keep]
+            met += np.bincount(i, minlength=len(vec)) + np.bincount(j, minlength=len(vec)) if len(i) else 0
+            keep = (met[i] < DENSE) & (met[j] < DENSE)
+            if keep.any():
+                yield _ordered(vec[i[keep]], vec[j[keep]])
+        if (met >= DENSE).any():
+            yield _ordered(vec[met >= DENSE], vec[met >= DENSE])
 
     return work
 
 
+def _leaders(dense: DataFrame) -> np.ndarray:
+    """Vectors of ``dense`` so that every one has a cosine of at least COVER with some of them, and no two of them with each other."""
+    leaders, left = np.empty((0, DIMENSIONS), np.float32), dense
+    while True:
+        rows = left.orderBy(F.xxhash64("vec"), "vec").select("embedding").limit(LEADERS).toArrow().combine_chunks()["embedding"]
+        some = [_unit(c) for c in rows.chunks if len(c)]
+        if not some:
+            return leaders
+        unit = np.concatenate(some)
+        close, free = unit @ unit.T >= COVER, np.ones(len(unit), bool)
+        for k in range(len(unit)):
+            if free[k]:
+                leaders, free = np.concatenate([leaders, unit[k : k + 1]]), free & ~close[k]
+
+        def uncovered(batches: Iterator[pa.RecordBatch], leaders: np.ndarray = leaders) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                # a leader itself is covered whatever the rounding
+                yield b.filter(pa.array((_unit(b.column("embedding")) @ leaders.T).max(axis=1) < COVER - 1e-5))
+
+        left = dense.mapInArrow(uncovered, dense.schema)
+
+
+def _dense_pairs(dense: DataFrame, different: DataFrame, least: float) -> DataFrame | None:
+    """(a, b): every pair of a vector that a leader covers and any other that may reach ``least``.
+
+    A vector belongs to the nearest leader that covers it, and visits every leader from which it is no further than that
+    cover and the angle of ``least`` together; so it meets there all its matches that belong to it.
+    """
+    leaders = _leaders(dense)
+    if not len(leaders):
+        return None
+    cover, reach = COVER - 1e-5, np.cos(np.arccos(COVER - 1e-5) + np.arccos(least) + 1e-3)
+
+    def placed(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leader that each vector belongs to or -1, and its visits: vector and leader."""
+        near = unit @ leaders.T
+        home = np.where(near.max(axis=1) >= cover, near.argmax(axis=1), -1)
+        return home, *np.nonzero(near >= reach)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1_000):
+                home, _, to = placed(_unit(b.column("embedding").slice(lo, 1_000)))
+                n = [np.bincount(x, minlength=len(leaders)) for x in (home[home >= 0], to)]
+                some = np.flatnonzero(n[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[0][some], n[1][some])], ["leader", "own", "all"])
+
+    own, every = np.zeros(len(leaders), np.int64), np.zeros(len(leaders), np.int64)
+    for r in different.select("embedding").mapInArrow(count, "leader bigint, own bigint, all bigint").groupBy("leader").agg(F.sum("own"), F.sum("all")).collect():
+        own[r[0]], every[r[0]] = r[1], r[2]
+    rows_of, columns_of = np.maximum(1, -(-own // CHUNK)), np.maximum(1, -(-every // CHUNK))
+    first = np.concatenate([[0], np.cumsum(rows_of * columns_of)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(lo, 1_000) for lo in range(0, whole.num_rows, 1_000)):
+                unit, vec = _unit(b.column("embedding")), b.column("vec").to_numpy()
+                packed = _packed(unit)
+                home, at, to = placed(unit)
+                mine = np.flatnonzero(home >= 0)
+                for visit, who, leader in ((False, mine, home[mine]), (True, at, to)):
+                    copies = (rows_of if visit else columns_of)[leader]
+                    who, leader = np.repeat(who, copies), np.repeat(leader, copies)
+                    other = np.arange(len(who)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    r, c = (other, vec[who] % columns_of[leader]) if visit else (vec[who] % rows_of[leader], other)
+                    for lo in range(0, len(who), 10_000):
+                        take = slice(lo, lo + 10_000)
+                        cell = (first[leader] + r * columns_of[leader] + c)[take].astype(np.int64)
+                        n = pa.array(who[take])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), visit)), pa.array(leader[take].astype(np.int64)), pa.array(home[who[take]].astype(np.int64)), b.column("vec").take(n), packed.take(n)], ["cell", "visit", "leader", "home", "vec", "packed"])
+
+    def work(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visit = np.concatenate([r.column("visit").to_numpy(zero_copy_only=False) for r in held]).astype(bool)
+        leader, home, vec = (np.concatenate([r.column(k).to_numpy() for r in held]) for k in ("leader", "home", "vec"))
+        unit = _unpacked([r.column("packed") for r in held])
+        x, y = np.flatnonzero(~visit), np.flatnonzero(visit)
+        for lo in range(0, len(x), 128):
+            i, j = np.nonzero(unit[x[lo : lo + 128]] @ unit[y].T >= least - MARGIN)
+            i, j = x[lo + i], y[j]
+            # two that belong to leaders meet at both, or twice at one: the pair is given once
+            keep = (vec[i] != vec[j]) & ((home[j] < 0) | (leader[i] < home[j]) | ((leader[i] == home[j]) & (vec[i] < vec[j])))
+            if keep.any():
+                yield _ordered(vec[i[keep]], vec[j[keep]])
+
+    schema = "cell bigint, visit boolean, leader bigint, home bigint, vec bigint, packed binary"
+    return different.select("vec", "embedding").mapInArrow(rows, schema).repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_block(work), "a bigint, b bigint")
+
+
 def _exact(pairs: DataFrame, different: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the exact ``cosine``; the vectors they need are fetched once."""
     ids = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).distinct()
@@ -210,8 +312,18 @@ def similar_pairs(tables: list[DataFrame], key: str = "id", vector: str = "embed
                 yield pa.RecordBatch.from_arrays([pa.array((cell + c * curves.blocks).astype(np.int64)), pa.array(key), b.column("vec"), packed], ["cell", "key", "vec", "packed"])
 
     placed = different.select("vec", "embedding").mapInArrow(rows, "cell bigint, key bigint, vec bigint, packed binary")
-    met = placed.repartition("cell").sortWithinPartitions("cell", "key", "vec").mapInArrow(_by_block(_pairs_in(least)), "a bigint, b bigint")
-    pairs = cut(_exact(cut(met.distinct(), "met"), different).filter(F.col("cosine") >= least).select("a", "b"), "pairs")
+    # equal keys are in another order on every curve
+    met = placed.repartition("cell").sortWithinPartitions("cell", "key", F.xxhash64("cell", "vec")).mapInArrow(_by_block(_pairs_in(least)), "a bigint, b bigint")
+    met = cut(met.distinct(), "met")
+    marked = met.filter("a = b").select(F.col("a").alias("vec"))
+    met = met.filter("a != b")
+    few = marked.limit(FEW + 1).count() <= FEW
+    dense = None
+    if not marked.isEmpty():
+        dense = _dense_pairs(cut(different.join(F.broadcast(marked) if few else marked, "vec", "left_semi").select("vec", "embedding"), "dense"), different, least)
+    if dense is not None:
+        met = cut(met.unionByName(dense).distinct(), "met_dense")
+    pairs = cut(_exact(met, different).filter(F.col("cosine") >= least).select("a", "b"), "pairs")
     linked = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).union(different.filter("n > 1").select("vec")).distinct()
     few = linked.limit(FEW + 1).count() <= FEW
     of = cut(members.join(F.broadcast(linked) if few else linked, "vec", "left_semi").distinct(), "records")
@@ -247,7 +359,7 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
                     [pa.array((np.concatenate(cells) + c * curves.blocks).astype(np.int64)), pa.array(np.concatenate(is_query)), vec.take(take), packed.take(take)], ["cell", "ask", "vec", "packed"]
                 )
 
-    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def work(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec = np.concatenate([r.column("vec").to_numpy() for r in held])
         ask = np.concatenate([r.column("ask").to_numpy(zero_copy_only=False) for r in held]).astype(bool)
         unit = _unpacked([r.column("packed") for r in held])
@@ -259,10 +371,10 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
             top = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
             out.append((np.repeat(names[lo : lo + 512], n), own[top].ravel(), np.take_along_axis(cosine, top, axis=1).ravel()))
         if not out:
-            return None
+            return
         a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
         other = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(near[other].astype(np.float32))], ["a", "b", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(near[other].astype(np.float32))], ["a", "b", "near"])
 
     placed = different.select("vec", "embedding", "asked").mapInArrow(rows, "cell bigint, ask boolean, vec bigint, packed binary")
     met = placed.repartition("cell").sortWithinPartitions("cell", "ask").mapInArrow(_by_block(work), "a bigint, b bigint, near float")

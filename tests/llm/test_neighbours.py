@@ -51,3 +51,17 @@ def test_empty(spark):
     assert N.similar_pairs([table(spark, [])]).count() == 0
     assert N.nearest([table(spark, [("a", None)])]).count() == 0
     assert N.similar_pairs([table(spark, [("a", np.ones(64)), ("b", np.ones(64)), ("a", np.ones(64))])]).collect() == [("a", "b")]
+
+
+def test_groups_denser_than_the_windows(spark, monkeypatch):
+    for name, value in {"WINDOW": 20, "BLOCK": 500, "DENSE": 4, "CHUNK": 150, "LEADERS": 50}.items():
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(3, 64))
+    x = np.concatenate([centres[0] + 0.2 * rng.normal(size=(400, 64)), centres[1] + 0.001 * rng.normal(size=(300, 64)), centres[2] + 0.3 * rng.normal(size=(200, 64)), rng.normal(size=(900, 64))])
+    x = x.astype(np.float32).astype(float)
+    df = table(spark, [(f"i{k:04}", v) for k, v in enumerate(x)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"i{i:04}", f"i{j:04}") for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)), strict=True)}
+    assert len(want) > 130_000
+    assert {tuple(r) for r in N.similar_pairs([df]).collect()} == want
