@@ -1,16 +1,16 @@
 """Evaluation passages inside training text (problem 8).
 
-Texts are sequences of words; the windows of one passage length, in items and
-documents, are embedded by random walks that turn edits into few changed positions;
-sampled positions give the buckets of several tables; what meets in any bucket is
-verified exactly, by edit distance in words. Equal windows meet in every table, so
-with no edits allowed nothing is missed; with edits the tables set the recall.
+Texts are sequences of words, a passage is a window of an item. With no edits allowed, windows of
+documents are looked up by a bucket of a walk over them, and equal ones always meet. With edits, a passage
+is cut into one part more than edits: some part is left as it is, wherever words are changed, left out or put
+in. Every place in a document with a part's words is a candidate, and the words on either side are verified by edit
+distance to any length of text there. Nothing is missed either way.
 
 The item side is a stated set. It is read in blocks of at most BLOCK_WORDS words, so what
 a worker holds is bounded; documents are passed once per block, without a shuffle.
 
 Defined results
-* words are maximal runs of a-z and digits after lower-casing; texts of fewer words than a window match nothing;
+* words are maximal runs of a-z and digits after lower-casing; items of fewer words than a window match nothing, nor do documents of fewer than that less the edits;
 * null and empty texts and null keys match nothing; an item or document given twice gives one result row;
 * one document row per task step, so a source or copy group of any size needs no shuffle; very long texts are read whole;
 * empty tables give an empty result; extra columns are not read.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edits between each row of ``a`` and of ``b``."""
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edits between each row of ``a`` and all beginnings of that of ``b``."""
     n, m = a.shape[1], b.shape[1]
     before = np.broadcast_to(np.arange(m + 1), (len(a), m + 1)).copy()
     for i in range(n):
@@ -50,7 +51,21 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for j in range(m):
             now[:, j + 1] = np.minimum(np.minimum(now[:, j], before[:, j + 1]) + 1, before[:, j] + cost[:, j])
         before = now
-    return before[:, m]
+    return before
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edits between each row of ``a`` and of ``b``."""
+    return _last_row(a, b)[:, b.shape[1]]
+
+
+def _mixed(rows: np.ndarray) -> np.ndarray:
+    """One number for each row."""
+    h = np.zeros(len(rows), np.int64)
+    for column in rows.T:
+        h = (h ^ (column.astype(np.int64) + 3)) * 0x1E3779B97F4A7C15
+        h ^= h >> 29
+    return h
 
 
 class PassageIndex:
@@ -74,9 +89,20 @@ class PassageIndex:
                 own.append(key)
         self.windows = np.array(rows, np.int32).reshape(-1, window)
         self.own = np.array(own, object)
-        buckets = self.buckets(self.windows)
-        self.order = [np.argsort(b, kind="stable") for b in buckets]
-        self.sorted = [b[o] for b, o in zip(buckets, self.order, strict=True)]
+        if not 0 <= edits < window:
+            raise ValueError("a passage needs more words than edits")
+        cuts = np.linspace(0, window, edits + 2).astype(int)
+        self.parts = list(zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True))
+
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted buckets of the windows, and whose they are."""
+        return [(b[o], o) for b in self.buckets(self.windows) for o in [np.argsort(b, kind="stable")]]
+
+    @cached_property
+    def part_tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same of each part of the windows."""
+        return [(b[o], o) for at, n in self.parts for b in [_mixed(self.windows[:, at : at + n])] for o in [np.argsort(b, kind="stable")]]
 
     def buckets(self, windows: np.ndarray) -> list[np.ndarray]:
         """The walks of every window, and one bucket for each sample of their positions."""
@@ -97,28 +123,68 @@ class PassageIndex:
         return out
 
     def search(self, docs: list[list[str]]) -> set[tuple[int, int]]:
-        """(document number, window number) of windows within the allowed edits."""
+        """(document number, window number) of windows that the document has within the allowed edits."""
         size = np.fromiter(map(len, docs), np.int64, len(docs))
         total, w = int(size.sum()), self.window
-        if total < w or not len(self.windows):
+        if total < w - self.edits or not len(self.windows):
             return set()
         get = self.code.get
         flat = np.fromiter((get(x, _OUTSIDE) for d in docs for x in d), np.int32, total)
         ends = np.cumsum(size)
         doc = np.repeat(np.arange(len(docs)), size)
         outside = np.concatenate([[0], np.cumsum(flat == _OUTSIDE)])
+        if self.edits:
+            return self._edited(flat, doc, ends, outside)
         start = np.arange(total - w + 1)
-        # an outside word costs an edit, so more of them than edits cannot match
-        start = start[(outside[start + w] - outside[start] <= self.edits) & (start + w <= ends[doc[start]])]
+        start = start[(outside[start + w] == outside[start]) & (start + w <= ends[doc[start]])]
         found: set[tuple[int, int]] = set()
         for lo in range(0, len(start), 200_000):
             found |= self._meet(flat, doc, start[lo : lo + 200_000])
         return found
 
+    def _edited(self, flat: np.ndarray, doc: np.ndarray, ends: np.ndarray, outside: np.ndarray) -> set[tuple[int, int]]:
+        """Places of an unchanged part of a window, and what is around them."""
+        around = self.window + self.edits
+        padded = np.concatenate([np.full(around, _OUTSIDE, flat.dtype), flat, np.full(around, _OUTSIDE, flat.dtype)])
+        owner = np.concatenate([np.full(around, -1), doc, np.full(around, -1)])
+        found: set[tuple[int, int]] = set()
+        for (at, n), (keys, order) in zip(self.parts, self.part_tables, strict=True):
+            start = np.arange(max(0, len(flat) - n + 1))
+            start = start[(outside[start + n] == outside[start]) & (start + n <= ends[doc[start]])]
+            for some in range(0, len(start), 200_000):
+                place = start[some : some + 200_000]
+                bucket = _mixed(flat[place[:, None] + np.arange(n)])
+                lo, many = np.searchsorted(keys, bucket, "left"), np.searchsorted(keys, bucket, "right")
+                many -= lo
+                last = np.cumsum(many)
+                for first in range(0, int(last[-1]), 100_000):
+                    pair = np.arange(first, min(first + 100_000, int(last[-1])))
+                    mine = np.searchsorted(last, pair, "right")
+                    theirs = order[lo[mine] + pair - (last[mine] - many[mine])]
+                    here = place[mine]
+                    ok = self._around(padded, owner, here + around, theirs, at, n) <= self.edits
+                    found |= set(zip(doc[here[ok]].tolist(), theirs[ok].tolist(), strict=True))
+        return found
+
+    def _around(self, padded: np.ndarray, owner: np.ndarray, place: np.ndarray, theirs: np.ndarray, at: int, n: int) -> np.ndarray:
+        """The least edits of windows whose part at ``at`` is in the text at ``place``; more than allowed if it isn't."""
+        window, mine = self.windows[theirs], owner[place][:, None]
+
+        def text(where: np.ndarray) -> np.ndarray:
+            # a word beyond the text's ends costs as much as one left out
+            return np.where(owner[where] == mine, padded[where], _OUTSIDE)
+
+        left, right = at, self.window - at - n
+        same = (padded[place[:, None] + np.arange(n)] == window[:, at : at + n]).all(axis=1)
+        before = _last_row(window[:, :at][:, ::-1], text(place[:, None] - 1 - np.arange(left + self.edits))).min(axis=1)
+        after = _last_row(window[:, at + n :], text(place[:, None] + n + np.arange(right + self.edits))).min(axis=1)
+        return np.where(same, before + after, self.edits + 1)
+
     def _meet(self, flat: np.ndarray, doc: np.ndarray, start: np.ndarray) -> set[tuple[int, int]]:
+        """Windows of one length at ``start``; all that are equal, most of those within the edits."""
         windows = flat[start[:, None] + np.arange(self.window)]
         pairs = []
-        for keys, order, bucket in zip(self.sorted, self.order, self.buckets(windows), strict=True):
+        for (keys, order), bucket in zip(self.tables, self.buckets(windows), strict=True):
             lo, hi = np.searchsorted(keys, bucket, "left"), np.searchsorted(keys, bucket, "right")
             n = hi - lo
             mine = np.repeat(np.arange(len(start)), n)

@@ -57,3 +57,28 @@ def test_recall_with_edits():
         assert got <= near
         hit, total = hit + len(got & near), total + len(near)
     assert hit / total >= 0.9
+
+
+def test_words_left_out_or_put_in():
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(12)]
+    item = [f"u{i}" for i in range(20)]
+    items = [(0, item), *[(i, [vocab[k] for k in rng.integers(0, 12, 30)]) for i in range(1, 6)]]
+    index = L.PassageIndex(items, edits=2)
+    two_in, two_out = [*item[:4], "x", *item[4:8], "y", *item[8:12]], [*item[:4], *item[5:9], *item[10:14]]
+    docs = [two_in, two_out, two_out[:9], item[:10], item[:9], ["x"] * 3, []]
+    for _ in range(150):
+        w = list(items[rng.integers(6)][1])[(at := int(rng.integers(8))) : at + 12]
+        for kind in rng.integers(0, 3, 4 if rng.random() < 0.3 else 2):
+            p = int(rng.integers(len(w)))
+            w[p : p + (kind != 2)] = [] if kind == 1 else [vocab[int(rng.integers(12))]]
+        docs.append([*[vocab[k] for k in rng.integers(0, 12, rng.integers(0, 4))], *w, *["out"] * int(rng.integers(0, 3))])
+    want = set()
+    for d, ws in enumerate(docs):
+        ids = np.array([index.code.get(x, -1) for x in ws], np.int32)
+        for n in range(10, 15):
+            for at in range(len(ids) - n + 1):
+                near = L.edit_distance(index.windows, np.broadcast_to(ids[at : at + n], (len(index.windows), n))) <= 2
+                want |= {(d, int(k)) for k in np.flatnonzero(near)}
+    assert index.search(docs) == want
+    assert {d for d, _ in want} >= {0, 1, 3} and not {d for d, _ in want} & {4, 5, 6}
