@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from itertools import chain, islice
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ from memloom.plans import prompts
 from memloom.plans.pipeline import Context, Pipelines, Runners, Stage, StageHooks, stage
 from memloom.session import cut
 
+#: Lines of a pool that one prompt shows to the model.
+PROMPT_LINES = 1_000
+
 
 @dataclass
 class Settings:
@@ -228,12 +232,32 @@ class MemoryService:
         pool = filters.with_vector(self.store.table("resources", st["where"]))
         return {"resources": filters.without_embedding(ranking.cosine_top_k(pool, self._query_vector(st), self.settings.resource_k))}
 
-    def _by_model(self, st: dict, pool: DataFrame, line: Any, key: str, k: int) -> DataFrame:
-        """The model ranks a pool that a prompt can hold; its order is kept, its ids are checked against the pool."""
-        listed = pool.select(F.concat(F.lit("- "), "id", F.lit(": "), line).alias("l"), "id").orderBy("id").limit(1000)
-        shown = "\n".join(r.l for r in listed.collect() if r.l)
+    def _ranked_ids(self, st: dict, lines: list[str], key: str, k: int) -> DataFrame:
+        """The model's order of the lines of one prompt, as an array of ids."""
+        shown = "\n".join(lines)
         raw = self.models.get().call("chat", f"{prompts.RANK.format(top_k=k, key=key)}\n\nQuery: {st['query']}\n\n{shown}")
-        ids = self.store.spark.range(1).select(F.coalesce(F.from_json(F.get_json_object(text.json_blob(F.lit(raw)), f"$.{key}"), "array<string>"), F.array().cast("array<string>")).alias("ids"))
+        return self.store.spark.range(1).select(F.coalesce(F.from_json(F.get_json_object(text.json_blob(F.lit(raw)), f"$.{key}"), "array<string>"), F.array().cast("array<string>")).alias("ids"))
+
+    def _by_model(self, st: dict, pool: DataFrame, line: Any, key: str, k: int) -> DataFrame:
+        """The model ranks the pool; its order is kept, its ids are checked against the pool.
+
+        A pool of more lines than PROMPT_LINES is ranked in blocks, and the blocks' winners again, until one prompt holds them.
+        """
+        size = max(PROMPT_LINES, 2 * k)
+        listed = pool.select(F.concat(F.lit("- "), "id", F.lit(": "), line).alias("l"), "id").orderBy("id")
+        rows = ((r.id, r.l) for r in listed.toLocalIterator() if r.l)
+        while True:
+            block, after = list(islice(rows, size)), next(rows, None)
+            if after is None:
+                break
+            rows, winners = chain([after], rows), []
+            while block:
+                of = dict(block)
+                best = dict.fromkeys(x for x in self._ranked_ids(st, list(of.values()), key, k).first().ids if x in of)
+                winners += [(x, of[x]) for x in islice(best, k)]
+                block = list(islice(rows, size))
+            rows = iter(winners)
+        ids = self._ranked_ids(st, [x for _, x in block], key, k)
         return links.in_model_order(ids, pool).withColumns({"rank": F.col("pos") + 1, "score": F.lit(None).cast("double")}).drop("pos")
 
     def _model_categories(self, st: dict, _: Context) -> dict:

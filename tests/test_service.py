@@ -107,6 +107,28 @@ def test_retrieve_by_model(spark, service):
     assert none["needs_retrieval"] is False and none["items"].count() == 0
 
 
+def test_model_ranks_every_row_of_a_pool(spark, service):
+    shown = []
+
+    class Model:
+        def get(self):
+            return self
+
+        def call(self, operation, prompt):
+            lines = [x.split(": ") for x in prompt.split("\n") if x.startswith("- ")]
+            shown.append([i[2:] for i, _ in lines])
+            return '{"items": [%s]}' % ", ".join(f'"{i[2:]}"' for i, _ in sorted(lines, key=lambda x: -int(x[1]))[:3])
+
+    service.models = Model()
+    pool = spark.range(3_500).selectExpr("format_string('i%04d', id) AS id", "id * 7919 % 3500 AS n")
+    got = service._by_model({"query": "the largest"}, pool, pool.n.cast("string"), "items", 3)
+    assert [r.n for r in got.orderBy("rank").collect()] == [3499, 3498, 3497]
+    assert sorted({i for block in shown for i in block}) == [f"i{k:04}" for k in range(3_500)] and [len(b) for b in shown] == [1000, 1000, 1000, 500, 12]
+    shown.clear()
+    assert service._by_model({"query": "q"}, pool.limit(1_000), pool.n.cast("string"), "items", 3).count() == 3 and len(shown) == 1
+    assert service._by_model({"query": "q"}, pool.limit(0), pool.n.cast("string"), "items", 3).count() == 0
+
+
 def test_single_items(spark, service):
     t = service.store.table
     service._bootstrap({"user_id": "u"})
