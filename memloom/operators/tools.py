@@ -43,12 +43,14 @@ def statistics_of(kept: Column, recent: int = 20) -> Column:
     )
 
 
-def statistics(log: DataFrame, scope: list[str], order: list[str], recent: int = 20) -> DataFrame:
-    """The same over a log of calls (success, time_cost, score, token_cost), per scope; unrounded."""
-    total = log.groupBy(*scope).agg(F.count("*").alias("total_calls"))
+def statistics(log: DataFrame, scope: list[str], order: list[str], recent: int | None = 20) -> DataFrame:
+    """The same over a log of calls (success, time_cost, score, token_cost), per scope; unrounded. ``recent`` None: over all calls."""
     success = F.coalesce(F.col("success"), F.lit(True)).cast("int")
-    near = last_per(log, scope, order, recent).groupBy(*scope).agg(
+    means = (
         F.count("*").alias("recent_calls_analyzed"), F.avg(F.coalesce("time_cost", F.lit(0.0))).alias("avg_time_cost"), F.avg(success).alias("success_rate"),
         F.avg(F.coalesce("score", F.lit(0.0))).alias("avg_score"), F.coalesce(F.avg(F.when(F.coalesce("token_cost", F.lit(-1)) >= 0, F.col("token_cost"))), F.lit(0.0)).alias("avg_token_cost"),
     )
-    return total.join(near, scope)
+    if recent is None:
+        return log.dropna(subset=scope).groupBy(*scope).agg(F.count("*").alias("total_calls"), *means)
+    total = log.groupBy(*scope).agg(F.count("*").alias("total_calls"))
+    return total.join(last_per(log, scope, order, recent).groupBy(*scope).agg(*means), scope)

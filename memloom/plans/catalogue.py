@@ -330,7 +330,7 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
 
 
 def tool_stats(s, d):  # noqa: ANN001, ANN201
-    out = tools.statistics(_calls(s, d), ["tool_name"], ["ts", "event_id"], 1_000_000)
+    out = tools.statistics(_calls(s, d), ["tool_name"], ["ts", "event_id"], None)
     return out.select("tool_name", "total_calls", "recent_calls_analyzed", *[F.round(c, 6).alias(c) for c in ("avg_time_cost", "success_rate", "avg_score", "avg_token_cost")])
 
 
