@@ -271,13 +271,23 @@ def last_user_message(s, d):  # noqa: ANN001, ANN201
     return ranking.last_user_message(load(s, d, "conv1"))
 
 
-def inject_context(s, d):  # noqa: ANN001, ANN201
-    turns = load(s, d, "conv1").filter("turn < 2").select("conv_id", "turn", "role", "content").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+def _injected(rows: DataFrame) -> DataFrame:
+    turns = rows.select("conv_id", "turn", "role", "content").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
     shaped = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     out = turns.select("conv_id", text.inject_memories(shaped, F.array(F.lit("likes tea"), F.lit("has a dog"))).alias("m"))
     return out.select("conv_id", F.size("m").cast("bigint").alias("n"), F.col("m")[0]["role"].alias("first_role"), F.col("m")[0]["content"].alias("first_content"))
 
 
+def inject_context(s, d):  # noqa: ANN001, ANN201
+    """The first two turns of every conversation, as its SQL has it."""
+    return _injected(load(s, d, "conv1").filter("turn < 2"))
+
+
+def inject_context_all(s, d):  # noqa: ANN001, ANN201
+    """Whole conversations."""
+    return _injected(load(s, d, "conv1"))
+
+
 def segment_slice(s, d):  # noqa: ANN001, ANN201
     doc = load(s, d, "documents").filter("text IS NOT NULL")
     return doc.select("doc_id", F.md5(text.segment_text(F.col("text"), F.lit(2), F.lit(5))).alias("digest"))
@@ -402,7 +412,7 @@ def stream_window_counts(s, d):  # noqa: ANN001, ANN201
 _NAMES = """scope_eq scope_in scope_none_skipped project_no_embedding point_lookup links_of_item items_by_ref_id score_threshold_limit cosine_topk cosine_all topk_per_scope salience_topk
 salience_score recency_decay rag_category_tier rag_item_tier rag_resource_tier rag_three_tier content_hash dedupe_reinforce reinforce_by_scope latest_state tombstone_delete clear_scope
 category_get_or_create link_idempotent links_without_dangling category_items_semi resources_for_items llm_rank_join_order category_name_map category_membership_diff category_updates category_lines
-extract_refs strip_refs cite_refs short_ref_id ref_writeback reference_map conversation_format last_user_message inject_context segment_slice json_blob tag_content decision_parse filename_from_url
+extract_refs strip_refs cite_refs short_ref_id ref_writeback reference_map conversation_format last_user_message inject_context inject_context_all segment_slice json_blob tag_content decision_parse filename_from_url
 segment_url patch_parse category_summary_prompt format_scores tool_stats tool_stats_recent_n tool_call_hash llm_call_stats embed_stub local_texts memorize_stub stream_count_trigger stream_window_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -490,6 +500,9 @@ SQL = {
     "reference_map": f"SELECT id, '- [ref:' || {_SHORT} || '] ' || CASE WHEN length(summary) > 100 THEN left(summary, 100) || '...' ELSE summary END AS line FROM memory_items",
     "last_user_message": "SELECT conv_id, arg_max(content, turn) AS query FROM conv1 WHERE lower(trim(role)) = 'user' AND length(trim(content)) > 0 GROUP BY 1",
     "inject_context": """WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1 WHERE turn < 2), s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') AS sys FROM t GROUP BY 1) SELECT conv_id, n + 1 AS n, 'system' AS first_role, '<memory_context>' || chr(10) || '- likes tea' || chr(10) || '- has a dog' || chr(10) || '</memory_context>' AS first_content FROM s WHERE sys = 0""",
+    "inject_context_all": """WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1), s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') > 0 AS sys, arg_min(role, turn) AS r, arg_min(content, turn) AS c FROM t GROUP BY 1),
+      b AS (SELECT '<memory_context>' || chr(10) || '- likes tea' || chr(10) || '- has a dog' || chr(10) || '</memory_context>' AS b)
+      SELECT conv_id, n + CASE WHEN sys THEN 0 ELSE 1 END AS n, CASE WHEN sys THEN r ELSE 'system' END AS first_role, CASE WHEN NOT sys THEN b WHEN r = 'system' THEN c || chr(10) || chr(10) || b ELSE c END AS first_content FROM s, b""",
     "json_blob": r"SELECT id, nullif(regexp_extract('answer: ' || extra || ' - done', '(?s)\{.*\}'), '') AS blob FROM memory_items",
     "tag_content": f"SELECT id, nullif({_trim("coalesce(memory_type, '')")}, '') AS caption FROM memory_items",
     "decision_parse": "SELECT id, CASE WHEN memory_type IN ('event', 'tool') THEN 'NO_RETRIEVE' ELSE 'RETRIEVE' END AS decision, 'MORE' AS judgement FROM memory_items",
