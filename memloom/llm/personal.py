@@ -3,8 +3,10 @@
 Patterns find e-mail addresses, postal addresses, identity numbers, phone numbers and
 names; every find becomes a typed placeholder. Numbers keep their format: their
 digits are permuted by a keyed Feistel network over the same number of digits (a
-leading birth date over the days of a century), so equal values stay equal across
-documents and whoever has the key can undo it. Other values carry a keyed tag.
+leading birth date over the days of a century; a check digit is worked out anew, off by what the
+old one was off), so equal values stay equal across documents and whoever has the key can undo it.
+Other values carry a keyed tag. Numbers are found by their shape and their surroundings; one
+with a wrong check digit counts, too, since people mistype what they mean.
 
 Defined results
 * null, empty and blank texts stay as they are and hold nothing; everything outside a find stays as it was;
@@ -17,8 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -50,6 +53,14 @@ _NOT_SURNAMES = frozenset(
     """monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
     the and for with like from via through will has have had was were is are can could would should do does did i we you he she they it my our your his her their""".split()
 )
+#: Capitalised words that begin a sentence or end the name of a place, firm or thing, never a person's.
+_NO_PERSON = frozenset(
+    """a an this that these those every each some any no all both in at on by before after between during since until under over about only even then there here when while where what who
+    why how if but or so because although everyone everybody someone somebody nobody nothing everything anyone new old north south east west upper lower great saint
+    street road lane avenue trail park pier mill bridge festival fair club band team school college university academy institute hospital clinic museum library church company corporation group bank
+    council committee department office service services support centre center city town county state kingdom republic coast island islands mountain river lake valley bay desk times post news radio press
+    inc ltd corp llc gmbh""".split()
+)
 _NUMBER_WORDS = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{<]\s?at\s?[)\]}>]\s?)", r"(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?)"
 _LABEL = r"[\w\-]+"
@@ -104,6 +115,12 @@ _REVERSED = re.compile(rf"(?<!\w)(?=(?P<all>(?P<s>{_WORD}),\s+(?P<g>[^\W\d_]{{2,
 _INITIALS = re.compile(rf"(?<![\w.])(?:[^\W\d_]\.\s?){{1,3}}(?P<s>{_WORD})(?!\w)")
 _TITLED = re.compile(rf"(?<!\w)(?P<t>{_TITLE})\.?\s+(?:[^\W\d_]\.\s?)?(?:(?P<g>[^\W\d_]{{2,}})\s+)?(?P<s>{_WORD})(?!\w)", re.I)
 _CUED = re.compile(r"(?i:\b(?:my name is|i am called|spoke with|contact is|ask for|signed by|best wishes,|kind regards,|sincerely,))\s+(?P<g>[A-Z][a-z]+)(?:\s[A-Z]\.)*\s+(?P<s>[A-Z][a-z]+(?:-[A-Z][a-z]+)?)")
+#: A pair of capitalised words before a word of speaking or kinship, for given names that no list holds.
+_CAPITALS = r"[A-Z][^\W\d_A-Z]+(?:-[A-Z][^\W\d_A-Z]+)?"
+_SPEAK = frozenset("said says told tells asked met wrote writes replied answered agreed insisted explained admitted emailed phoned texted thanked apologised apologized lives lived works worked thinks thought married".split())
+_KIN = frozenset("wife husband son daughter mother father brother sister boss colleague email phone address birthday".split())
+_SPEAKS = re.compile(rf"\s(?:{'|'.join(sorted(_SPEAK))})\b|['’]s\s(?:{'|'.join(sorted(_KIN))})\b")
+_PAIR_BEFORE = re.compile(rf"(?<![\w.\-'’])(?P<g>{_CAPITALS})\s(?P<s>{_CAPITALS})$")
 _SURNAME = re.compile(rf"(?:[^\W\d_]{{2,}}{_SURNAME_END})(?:['’\-][^\W\d_]{{2,}})?$", re.I)
 
 #: Cheap signs, without which the dearer patterns can't match.
@@ -135,7 +152,8 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
             yield m.start(), m.end()
         elif g and _SURNAME.match(g):
             yield m.start(), m.end("g")
-    some = not GIVEN.isdisjoint(_LETTERS.findall(low))
+    words = set(_LETTERS.findall(low))
+    some = not GIVEN.isdisjoint(words)
     for m in _REVERSED.finditer(text) if some else ():
         if m["g"].lower() in GIVEN and _SURNAME.match(m["s"]):
             yield m.span("all")
@@ -152,6 +170,9 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
     for m in _CUED.finditer(text):
         if m["s"].lower() not in _NOT_SURNAMES:
             yield m.span()
+    for v in _SPEAKS.finditer(text) if not (_SPEAK.isdisjoint(words) and _KIN.isdisjoint(words)) else ():
+        if (m := _PAIR_BEFORE.search(text, max(0, v.start() - 60), v.start())) and not {m["g"].lower(), m["s"].lower()} & (_NOT_SURNAMES | _NO_PERSON):
+            yield m.span()
 
 
 def _addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
@@ -211,6 +232,28 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(got)
 
 
+def _luhn(digits: str) -> int:
+    """The digit that closes ``digits`` by the rule of doubled digits, from the right."""
+    doubled = [int(c) * (2 - k % 2) for k, c in enumerate(reversed(digits))]
+    return -sum(d // 10 + d % 10 for d in doubled) % 10
+
+
+class _Checked(NamedTuple):
+    """A form of number whose last digits follow from the others."""
+
+    shape: re.Pattern
+    width: int
+    dated: bool
+    check: Callable[[str], int]
+
+
+_CHECKED = (
+    _Checked(re.compile(r"\d{6}[-+]\d{4}"), 1, True, _luhn),
+    _Checked(re.compile(r"\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}"), 2, True, lambda d: 97 - int(d) % 97),
+    _Checked(re.compile(r"\d{3} \d{3} \d{3} \d"), 1, False, lambda d: -sum(int(c) * w for c, w in zip(d, range(10, 1, -1), strict=True)) % 11 % 10),
+)
+
+
 class Pseudonyms:
     """Keyed, format-preserving stand-ins."""
 
@@ -257,12 +300,16 @@ class Pseudonyms:
                 return (first + timedelta(days=n)).strftime("%y%m%d")
 
     def number(self, text: str, back: bool = False) -> str:
-        """``text`` with its digits permuted in place; a birth date in front stays one."""
+        """``text`` with its digits permuted in place; a birth date in front stays one, check digits stay as right or wrong as they were."""
         digits = "".join(c for c in text if c.isdigit())
-        if re.fullmatch(r"\d{6}[-+]\d{4}", text):
-            new = self.day(digits[:6], back) + self.digits(digits[6:], back)
-        else:
+        form = next((f for f in _CHECKED if f.shape.fullmatch(text)), None)
+        if form is None:
             new = self.digits(digits, back)
+        else:
+            body, check = digits[: -form.width], digits[-form.width :]
+            size, off = 10**form.width, int(check) - form.check(body)
+            body = (self.day(body[:6], back) + self.digits(body[6:], back)) if form.dated else self.digits(body, back)
+            new = f"{body}{(form.check(body) + off) % size:0{form.width}d}"
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in text)
 
