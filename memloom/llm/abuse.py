@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: At most so many marked documents are read for fitting: those first by a hash of their key.
 FIT_DOCUMENTS = 20_000
 ORDER, DISCOUNT, TURNS = 3, 0.75, 3
-#: Lengths of the passages compared, in words.
+#: Lengths of the passages compared, in words; a document of fewer words than the least is one passage.
 LENGTHS = (3, 5, 8, 12)
 
 #: Letters that stand for others in evasive spelling.
@@ -198,6 +198,8 @@ def scores(model: KneserNey | None, docs: list[list[str]]) -> np.ndarray:
     ratio = model.log_ratio(ids)
     sums = np.concatenate([[0.0], np.cumsum(ratio)])
     own = np.repeat(np.arange(len(docs)), size)
+    tiny = np.flatnonzero((size > gap) & (size < min(LENGTHS) + gap))  # too short for a passage: taken whole
+    best[tiny] = np.maximum(0, (sums[first[tiny] + size[tiny]] - sums[first[tiny] + gap]) / np.sqrt(size[tiny] - gap))
     for n in LENGTHS:
         start = np.arange(max(0, len(ids) - n + 1))
         start = start[(start >= first[own[start]] + gap) & (own[start] == own[start + n - 1])]

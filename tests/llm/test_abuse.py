@@ -29,12 +29,13 @@ def corpus(seed, n):
 
 def test_held_out(spark):
     rows = corpus(1, 400)
-    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (902, "a " * 100_000, "x")], "doc_id bigint, text string, score string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (902, "a " * 100_000, "x"), (903, "disgusting moron", "x"), (904, "harbor kettle", "x")], "doc_id bigint, text string, score string")
     marks = spark.createDataFrame([(i, 1, y) for i, _, y in rows[:200]] + [(0, None, rows[0][2]), (1, 3, None), (5000, 1, 1)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in A.score(docs, *A.train(docs, marks)).collect()}
     held = rows[200:]
     right = sum(got[i].abusive == bool(y) for i, _, y in held)
     assert right / len(held) >= 0.97 and got[900].score == 0 and got[901].score == 0 and not got[902].abusive
+    assert got[903].score > got[904].score
 
 
 def test_no_marks(spark):
