@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.expand import record_pairs
 from memloom.session import cut
 
 THRESHOLD = Fraction(7, 10)
@@ -405,10 +406,7 @@ def near_pairs(df: DataFrame, key: str = "id", text: str = "summary", threshold:
     members, sets, copies = _collapsed(df, key, text)
     pairs = cut(similar_sets(sets, threshold).select("a", "b"), "pairs")
     of, _ = _linked_members(members, pairs, copies)
-    a, b = of.select(F.col("id").alias("x"), F.col("set").alias("a")), of.select(F.col("id").alias("y"), F.col("set").alias("b"))
-    across = pairs.join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return record_pairs(pairs, of.withColumnRenamed("set", "of"))
 
 
 def near_classes(df: DataFrame, key: str = "id", text: str = "summary", threshold: Fraction = THRESHOLD) -> DataFrame:

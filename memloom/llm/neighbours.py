@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.llm.expand import record_pairs
 from memloom.session import cut
 
 DIMENSIONS = 64
@@ -327,10 +328,7 @@ def similar_pairs(tables: list[DataFrame], key: str = "id", vector: str = "embed
     linked = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).union(different.filter("n > 1").select("vec")).distinct()
     few = linked.limit(FEW + 1).count() <= FEW
     of = cut(members.join(F.broadcast(linked) if few else linked, "vec", "left_semi").distinct(), "records")
-    a, b = of.select(F.col("id").alias("x"), F.col("vec").alias("a")), of.select(F.col("id").alias("y"), F.col("vec").alias("b"))
-    across = pairs.join(a, "a").join(b, "b").filter("x != y").select("x", "y")
-    within = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return record_pairs(pairs, of.withColumnRenamed("vec", "of"))
 
 
 def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str = "embedding", share: float = NEAREST_SHARE) -> DataFrame:
