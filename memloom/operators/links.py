@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text
 
+#: Items of one category that one prompt lists, about.
+UPDATES = 1_000
+
 
 def materialise(hits: DataFrame, pool: DataFrame, key: str = "id") -> DataFrame:
     """Hits (key, score, rank) with the pool's columns but the vector; hits without a row are dropped."""
@@ -64,11 +67,20 @@ def membership_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("item_id", "category_id", change.alias("change"))
 
 
-def category_updates(links: DataFrame, items: DataFrame) -> DataFrame:
-    """(category_id, updates): items of every category as (item_id, summary) in order; one array a category."""
+def category_updates(links: DataFrame, items: DataFrame, size: int = UPDATES) -> DataFrame:
+    """(category_id, part, updates): items of every category as (item_id, summary) in order of their making.
+
+    A category of more than ``size`` links is spread over so many parts, by a hash of the item, that each holds about
+    ``size``: a category that holds a third of all links is many small arrays in many tasks, never one.
+    Links without an item or a category are none.
+    """
+    links = links.filter("category_id IS NOT NULL")
+    parts = links.groupBy("category_id").agg(F.ceil(F.count("*") / size).cast("bigint").alias("parts")).filter("parts > 1")
     met = links.select("category_id", "item_id").distinct().join(items.select(F.col("id").alias("item_id"), "created_at", "summary"), "item_id")
+    place = F.conv(F.substring(F.md5("item_id"), 1, 8), 16, 10).cast("bigint") % F.coalesce("parts", F.lit(1))
     rows = F.array_sort(F.collect_list(F.struct("created_at", "item_id", "summary")))
-    return met.groupBy("category_id").agg(F.transform(rows, lambda x: F.struct(x["item_id"].alias("item_id"), x["summary"].alias("summary"))).alias("updates"))
+    in_order = F.transform(rows, lambda x: F.struct(x["item_id"].alias("item_id"), x["summary"].alias("summary")))
+    return met.join(parts, "category_id", "left").groupBy("category_id", place.alias("part")).agg(in_order.alias("updates"))
 
 
 def joined_lines(df: DataFrame, scope: list[str], line: str, order: list[str], separator: str = "\n") -> DataFrame:

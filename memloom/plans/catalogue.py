@@ -197,7 +197,8 @@ def resources_for_items(s, d):  # noqa: ANN001, ANN201
 
 
 def llm_rank_join_order(s, d):  # noqa: ANN001, ANN201
-    ids = _items(s, d).filter("user_id = 'u002'").agg(F.reverse(F.array_sort(F.collect_list("id"))).alias("ids")).select(F.concat(F.slice("ids", 1, 5), F.array(F.lit("unknown")), F.slice("ids", 1, 1)).alias("ids"))
+    best = _items(s, d).filter("user_id = 'u002'").select("id").orderBy(F.desc("id")).limit(5).agg(F.reverse(F.array_sort(F.collect_list("id"))).alias("ids"))
+    ids = best.select(F.concat("ids", F.array(F.lit("unknown")), F.slice("ids", 1, 1)).alias("ids"))
     return links.in_model_order(ids, _items(s, d)).select(F.col("pos").cast("bigint").alias("pos"), "id", "memory_type")
 
 
@@ -214,7 +215,7 @@ def category_membership_diff(s, d):  # noqa: ANN001, ANN201
 
 def category_updates(s, d):  # noqa: ANN001, ANN201
     out = links.category_updates(load(s, d, "category_items"), _items(s, d))
-    return out.select("category_id", F.size("updates").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("updates", lambda u: F.concat(u["item_id"], F.coalesce(u["summary"], F.lit("")))), "|")).alias("digest"))
+    return out.select("category_id", "part", F.size("updates").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("updates", lambda u: F.concat(u["item_id"], F.coalesce(u["summary"], F.lit("")))), "|")).alias("digest"))
 
 
 def category_lines(s, d):  # noqa: ANN001, ANN201
@@ -279,12 +280,6 @@ def _injected(rows: DataFrame) -> DataFrame:
 
 
 def inject_context(s, d):  # noqa: ANN001, ANN201
-    """The first two turns of every conversation, as its SQL has it."""
-    return _injected(load(s, d, "conv1").filter("turn < 2"))
-
-
-def inject_context_all(s, d):  # noqa: ANN001, ANN201
-    """Whole conversations."""
     return _injected(load(s, d, "conv1"))
 
 
@@ -324,7 +319,7 @@ def patch_parse(s, d):  # noqa: ANN001, ANN201
 
 def category_summary_prompt(s, d):  # noqa: ANN001, ANN201
     rows = links.category_updates(load(s, d, "category_items"), _items(s, d)).join(load(s, d, "memory_categories").select(F.col("id").alias("category_id"), "name", "summary"), "category_id")
-    return rows.select("category_id", F.length(prompts.category_summary(F.col("name"), F.col("summary"), F.col("updates"))).cast("bigint").alias("chars"))
+    return rows.select("category_id", "part", F.length(prompts.category_summary(F.col("name"), F.col("summary"), F.col("updates"))).cast("bigint").alias("chars"))
 
 
 def format_scores(s, d):  # noqa: ANN001, ANN201
@@ -412,7 +407,7 @@ def stream_window_counts(s, d):  # noqa: ANN001, ANN201
 _NAMES = """scope_eq scope_in scope_none_skipped project_no_embedding point_lookup links_of_item items_by_ref_id score_threshold_limit cosine_topk cosine_all topk_per_scope salience_topk
 salience_score recency_decay rag_category_tier rag_item_tier rag_resource_tier rag_three_tier content_hash dedupe_reinforce reinforce_by_scope latest_state tombstone_delete clear_scope
 category_get_or_create link_idempotent links_without_dangling category_items_semi resources_for_items llm_rank_join_order category_name_map category_membership_diff category_updates category_lines
-extract_refs strip_refs cite_refs short_ref_id ref_writeback reference_map conversation_format last_user_message inject_context inject_context_all segment_slice json_blob tag_content decision_parse filename_from_url
+extract_refs strip_refs cite_refs short_ref_id ref_writeback reference_map conversation_format last_user_message inject_context segment_slice json_blob tag_content decision_parse filename_from_url
 segment_url patch_parse category_summary_prompt format_scores tool_stats tool_stats_recent_n tool_call_hash llm_call_stats embed_stub local_texts memorize_stub stream_count_trigger stream_window_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -452,6 +447,8 @@ _SHORT = "substring(replace(id, '-', ''), 1, 6)"
 _CITED = f"""c AS (SELECT id, CASE WHEN memory_type = 'event' THEN coalesce(summary, '') || ' [ref:' || {_SHORT} || ', x-1] , and [ref:' || reverse({_SHORT}) || ',' || {_SHORT} || ']  .' ELSE summary END AS said FROM memory_items)"""
 _REFS = r"regexp_extract_all(said, '\[ref:([a-zA-Z0-9_,\-]+)\]', 1)"
 _CATEXT = f"""CASE WHEN length({_trim("coalesce(description, '')")}) > 0 THEN coalesce(nullif({_trim("name")}, ''), 'Untitled') || ': ' || {_trim("description")} ELSE coalesce(nullif({_trim("name")}, ''), 'Untitled') END"""
+_PARTS = f"(SELECT category_id, ceil(count(*) / {links.UPDATES}.0)::BIGINT AS parts FROM category_items GROUP BY 1)"
+_PART = "('0x' || md5(item_id)[1:8])::BIGINT % parts"
 _STATS = "avg(value) AS a, avg(CASE WHEN value < 50 THEN 1 ELSE 0 END) AS s, avg(value / 10) AS c, coalesce(avg(CASE WHEN json_extract_string(props, '$.k')::INT >= 10 THEN json_extract_string(props, '$.k')::INT - 10 END), 0) AS t"
 
 SQL = {
@@ -491,7 +488,7 @@ SQL = {
     "category_name_map": f"SELECT i.id, c.id AS category_id, min(n.pos) AS pos FROM memory_items i, (VALUES ('garden', 0::BIGINT), ('languages', 1), ('no such', 2), ('garden', 3)) n(name, pos), memory_categories c WHERE c.user_id = i.user_id AND lower({_trim('c.name')}) = n.name GROUP BY 1, 2",
     "category_membership_diff": """WITH o AS (SELECT DISTINCT item_id, category_id FROM category_items WHERE created_at < TIMESTAMPTZ '2025-06-01 00:00:00+00'), n AS (SELECT DISTINCT item_id, category_id FROM category_items WHERE created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00'),
       b AS (SELECT count(*) AS k FROM o JOIN n USING (item_id, category_id)), c AS (SELECT 'keep' AS change, k AS n FROM b UNION ALL SELECT 'unlink', (SELECT count(*) FROM o) - k - 0 FROM b UNION ALL SELECT 'link', (SELECT count(*) FROM n) - k FROM b) SELECT * FROM c WHERE n > 0""",
-    "category_updates": "SELECT category_id, count(*) AS n, md5(string_agg(item_id || coalesce(summary, ''), '|' ORDER BY created_at, item_id, summary NULLS FIRST)) AS digest FROM (SELECT DISTINCT category_id, item_id FROM category_items) l JOIN (SELECT id AS item_id, created_at, summary FROM memory_items) i USING (item_id) GROUP BY 1",
+    "category_updates": f"SELECT category_id, {_PART} AS part, count(*) AS n, md5(string_agg(item_id || coalesce(summary, ''), '|' ORDER BY created_at, item_id, summary NULLS FIRST)) AS digest FROM (SELECT DISTINCT category_id, item_id FROM category_items) l JOIN (SELECT id AS item_id, created_at, summary FROM memory_items) i USING (item_id) JOIN {_PARTS} USING (category_id) GROUP BY 1, 2",
     "category_lines": f"SELECT user_id, string_agg('- ' || ({_CATEXT}), chr(10) ORDER BY created_at, id) AS text FROM memory_categories GROUP BY 1",
     "extract_refs": f"WITH {_CITED}, r AS (SELECT id, list_filter(list_transform(flatten(list_transform({_REFS}, lambda m: string_split(m, ','))), lambda x: trim(x)), lambda x: x != '') AS r FROM c), u AS (SELECT id, unnest(r) AS ref, unnest(range(len(r))) AS p FROM r), f AS (SELECT id, ref, min(p) AS p FROM u GROUP BY 1, 2) SELECT id, ref, row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS pos FROM f",
     "strip_refs": rf"WITH {_CITED}, p AS (SELECT id, regexp_replace(said, '[^\x20-\x7e]', ' ', 'g') AS said FROM c) SELECT id, md5(CASE WHEN length(said) > 0 THEN trim(regexp_replace(regexp_replace(regexp_replace(said, '\[ref:([a-zA-Z0-9_,\-]+)\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g'), '\s+', ' ', 'g')) ELSE said END) AS digest FROM p",
@@ -499,8 +496,7 @@ SQL = {
     "ref_writeback": "WITH s AS (SELECT category_id, item_id, epoch_us(created_at) AS pos, substring(replace(item_id, '-', ''), 1, 6) AS ref_id FROM category_items WHERE category_id IS NOT NULL AND item_id IS NOT NULL), m AS (SELECT category_id, substring(replace(min(item_id), '-', ''), 1, 6) AS a, substring(replace(max(item_id), '-', ''), 1, 6) AS b FROM s GROUP BY 1), k AS (SELECT s.category_id, ref_id, arg_max(item_id, (pos, item_id)) AS item_id FROM s JOIN m USING (category_id) WHERE (ref_id = a AND regexp_full_match(a, '[a-zA-Z0-9_\\-]+') OR ref_id = b AND regexp_full_match(b, '[a-zA-Z0-9_\\-]+')) AND regexp_full_match(a || b, '[a-zA-Z0-9_\\-]*') GROUP BY 1, 2) SELECT DISTINCT item_id, ref_id FROM k",
     "reference_map": f"SELECT id, '- [ref:' || {_SHORT} || '] ' || CASE WHEN length(summary) > 100 THEN left(summary, 100) || '...' ELSE summary END AS line FROM memory_items",
     "last_user_message": "SELECT conv_id, arg_max(content, turn) AS query FROM conv1 WHERE lower(trim(role)) = 'user' AND length(trim(content)) > 0 GROUP BY 1",
-    "inject_context": """WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1 WHERE turn < 2), s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') AS sys FROM t GROUP BY 1) SELECT conv_id, n + 1 AS n, 'system' AS first_role, '<memory_context>' || chr(10) || '- likes tea' || chr(10) || '- has a dog' || chr(10) || '</memory_context>' AS first_content FROM s WHERE sys = 0""",
-    "inject_context_all": """WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1), s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') > 0 AS sys, arg_min(role, turn) AS r, arg_min(content, turn) AS c FROM t GROUP BY 1),
+    "inject_context": """WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1), s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') > 0 AS sys, arg_min(role, turn) AS r, arg_min(content, turn) AS c FROM t GROUP BY 1),
       b AS (SELECT '<memory_context>' || chr(10) || '- likes tea' || chr(10) || '- has a dog' || chr(10) || '</memory_context>' AS b)
       SELECT conv_id, n + CASE WHEN sys THEN 0 ELSE 1 END AS n, CASE WHEN sys THEN r ELSE 'system' END AS first_role, CASE WHEN NOT sys THEN b WHEN r = 'system' THEN c || chr(10) || chr(10) || b ELSE c END AS first_content FROM s, b""",
     "json_blob": r"SELECT id, nullif(regexp_extract('answer: ' || extra || ' - done', '(?s)\{.*\}'), '') AS blob FROM memory_items",
@@ -519,8 +515,8 @@ SQL = {
     + _trim("t")
     + ") > 0 THEN md5(t) END AS digest FROM p",
     "format_scores": f"WITH {_Q} SELECT id, 'item: ' || coalesce(summary, '') || chr(10) || 'Score: ' || printf('%.3f', score) AS line FROM {_top('memory_items', 5)}",
-    "category_summary_prompt": f"""SELECT c.id AS category_id, {len(prompts.CATEGORY_SUMMARY.format(target_length=400))} + length(chr(10) || chr(10) || 'Category: ' || name || chr(10) || chr(10) || 'Summary so far:' || chr(10) || coalesce(c.summary, '') || chr(10) || chr(10) || 'New items:' || chr(10)) + u.n AS chars
-      FROM memory_categories c JOIN (SELECT category_id, coalesce(sum(2 + length(summary)), 0)::BIGINT + greatest(count(summary) - 1, 0) AS n FROM (SELECT DISTINCT category_id, item_id FROM category_items) l JOIN memory_items i ON i.id = l.item_id GROUP BY 1) u ON u.category_id = c.id""",
+    "category_summary_prompt": f"""SELECT c.id AS category_id, u.part, {len(prompts.CATEGORY_SUMMARY.format(target_length=400))} + length(chr(10) || chr(10) || 'Category: ' || name || chr(10) || chr(10) || 'Summary so far:' || chr(10) || coalesce(c.summary, '') || chr(10) || chr(10) || 'New items:' || chr(10)) + u.n AS chars
+      FROM memory_categories c JOIN (SELECT category_id, {_PART} AS part, coalesce(sum(2 + length(summary)), 0)::BIGINT + greatest(count(summary) - 1, 0) AS n FROM (SELECT DISTINCT category_id, item_id FROM category_items) l JOIN memory_items i ON i.id = l.item_id JOIN {_PARTS} USING (category_id) GROUP BY 1, 2) u ON u.category_id = c.id""",
     "conversation_format": "WITH t AS (SELECT DISTINCT conv_id, turn, role, content FROM conv1), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, regexp_replace(coalesce(content, ''), '"
     + r"\r\n|[\n\x0B\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
     + "', ' ', 'g') AS c FROM t) SELECT conv_id, count(*) AS n, md5(string_agg('[' || i || '] [' || coalesce(nullif("

@@ -23,6 +23,7 @@ PREPROCESS = {
     "image": "Describe the picture. Answer with <detailed_description>…</detailed_description><caption>one sentence</caption>.",
     "video": "Describe the frame of the video. Answer with <detailed_description>…</detailed_description><caption>one sentence</caption>.",
 }
+SEGMENT = "Say in one or two sentences what this part of a conversation is about."
 CONTENT_TAG = {"document": "processed_content", "audio": "processed_content", "image": "detailed_description", "video": "detailed_description"}
 GATE = "Decide whether the query needs memories. Answer with <decision>RETRIEVE or NO_RETRIEVE</decision><rewritten_query>…</rewritten_query>."
 RANK = "Order by relevance to the query and keep at most {top_k}. Answer with JSON that has an array of ids under the key {key}."

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import chain, islice
 from typing import Any
 
@@ -18,6 +19,7 @@ from memloom.operators.store import MemoryStore
 from memloom.plans import prompts
 from memloom.plans.pipeline import Context, Pipelines, Runners, Stage, StageHooks, stage
 from memloom.session import cut
+from memloom.sources import files, frames
 
 #: Lines of a pool that one prompt shows to the model.
 PROMPT_LINES = 1_000
@@ -104,20 +106,40 @@ class MemoryService:
         return {"ingested": self._scoped(named, st["user"])}
 
     def _preprocess(self, st: dict, _: Context) -> dict:
-        """One row a text: a conversation by its segments, anything else as it is condensed."""
+        """One row a text: a conversation by its segments, anything else as it is condensed or described.
+
+        Media come in a binary column ``content``; what can't be read has a null text and gives no items.
+        """
         rows = st["ingested"]
-        talk = rows.filter(F.col("modality") == "conversation").withColumn("text", text.format_conversation(F.col("raw_text")))
+        if "content" not in rows.columns:
+            rows = rows.withColumn("content", F.lit(None).cast("binary"))
+        keep = ["url", "modality", "local_path", "caption", "text", *self.scope]
+        of = lambda kind: rows.filter(F.col("modality") == kind)
+
+        def described(df: DataFrame, kind: str, answer: Any) -> DataFrame:
+            made = df.withColumn("made", text.multimodal(answer, prompts.CONTENT_TAG[kind]))
+            return made.withColumns({"text": F.coalesce("made.content", "raw_text"), "caption": F.col("made.caption")}).select(*keep)
+
+        condensed = lambda df, kind: described(df, kind, self.models.chat(F.concat(F.lit(prompts.PREPROCESS[kind] + "\n\n"), "raw_text")))
+        seen = lambda df, kind: described(df, kind, self.models.media(F.col("content"), F.col("url"), "vision", prompts.PREPROCESS[kind]))
+        heard = files.audio_texts(of("audio"), lambda content, name: self.models.media(content, name, "transcribe")).withColumn("raw_text", F.col("text"))
+        film = of("video")
+        shot = frames.frames(film.select("url", "content").dropDuplicates(["url"])).select("url", F.col("frame").alias("content"))
+        plain = rows.filter(~F.col("modality").isin("conversation", *prompts.CONTENT_TAG)).withColumns({"text": F.col("raw_text"), "caption": F.lit(None).cast("string")})
+        parts = [self._segmented(of("conversation")).select(*keep), condensed(of("document"), "document"), condensed(heard, "audio"), seen(of("image"), "image"), seen(film.drop("content").join(shot, "url", "left"), "video"), plain.select(*keep)]
+        made = reduce(DataFrame.unionByName, parts)
+        made = made.withColumns({"id": F.sha2(F.concat_ws("|", F.lit("resource"), "url", *self.scope), 256), "caption": F.nullif(text.strip(F.col("caption")), F.lit(""))})
+        return {"texts": cut(made, "texts")}  # models are asked once, however often the texts are read
+
+    def _segmented(self, talk: DataFrame) -> DataFrame:
+        """A row for every segment the model finds, with a caption it is asked for; one without a caption if it finds none."""
+        talk = talk.withColumn("text", text.format_conversation(F.col("raw_text")))
         answer = self.models.chat(F.concat(F.lit(prompts.PREPROCESS["conversation"] + "\n\n"), "text"))
         whole = F.array(F.struct(F.lit(0).alias("start"), (F.size(F.split("text", "\n")) - 1).alias("end")))
-        talk = talk.withColumn("segments", F.coalesce(text.segments(answer), whole)).select("*", F.posexplode("segments").alias("part", "segment"))
+        talk = talk.withColumn("found", text.segments(answer)).withColumn("segments", F.coalesce("found", whole)).select("*", F.posexplode("segments").alias("part", "segment"))
         talk = talk.withColumn("text", text.segment_text(F.col("text"), F.col("segment.start"), F.col("segment.end"))).filter("text IS NOT NULL")
-        talk = talk.withColumn("url", text.segment_url(F.col("url"), F.col("part"), F.size("segments"))).withColumn("caption", F.substring(F.regexp_replace("text", "\n", " "), 1, 200))
-        other = rows.filter(F.col("modality") != "conversation").withColumn("asked", F.concat(F.lit(prompts.PREPROCESS["document"] + "\n\n"), "raw_text"))
-        other = other.withColumn("made", text.multimodal(self.models.chat(F.col("asked")), prompts.CONTENT_TAG["document"])).withColumns({"text": F.coalesce("made.content", "raw_text"), "caption": F.col("made.caption")})
-        keep = ["url", "modality", "local_path", "caption", "text", *self.scope]
-        made = talk.select(*keep).unionByName(other.select(*keep))
-        made = made.withColumns({"id": F.sha2(F.concat_ws("|", F.lit("resource"), "url", *self.scope), 256), "caption": F.nullif(text.strip(F.col("caption")), F.lit(""))})
-        return {"texts": made}
+        talk = talk.withColumn("url", text.segment_url(F.col("url"), F.col("part"), F.size("segments")))
+        return talk.withColumn("caption", self.models.chat(F.when(F.col("found").isNotNull(), F.col("text")), system=prompts.SEGMENT))
 
     def _extract(self, st: dict, _: Context) -> dict:
         known = ", ".join(n for n, _ in self.settings.categories)
@@ -160,16 +182,28 @@ class MemoryService:
     def _persist(self, st: dict, _: Context) -> dict:
         """Rolling summaries of the categories touched, and short ids of items that they cite."""
         updates = links.category_updates(st["relations"], st["items"])
-        names = self.store.table("memory_categories").select(F.col("id").alias("category_id"), "name", F.col("summary").alias("old"))
-        asked = updates.join(names, "category_id").withColumn("prompt", prompts.category_summary(F.col("name"), F.col("old"), F.col("updates"), self.settings.item_references, self.settings.summary_length))
-        made = asked.select(F.col("category_id").alias("id"), text.strip_fences(self.models.chat(F.col("prompt"))).alias("summary"))
+        made = self._summaries(updates).select(F.col("category_id").alias("id"), "summary")
         self.store.append("memory_categories", made.withColumn("updated_at", F.current_timestamp()), "patch")
         if self.settings.item_references:
-            listed = updates.select("category_id", F.posexplode("updates").alias("pos", "u")).select("category_id", "pos", "u.item_id")
+            listed = updates.select("category_id", "part", F.posexplode("updates").alias("at", "u")).select("category_id", F.struct("part", "at").alias("pos"), "u.item_id")
             cited = links.write_back(listed, self.store.table("memory_categories").select(F.col("id").alias("category_id"), "summary"))
             self.store.append("memory_items", cited.select(F.col("item_id").alias("id"), F.to_json(F.struct("ref_id")).alias("extra"), F.current_timestamp().alias("updated_at")), "patch")
         return {"updates": updates}
 
+    def _summaries(self, updates: DataFrame) -> DataFrame:
+        """(category_id, summary): the model folds the items of a part into a summary, and the summaries of parts again, until there is one."""
+        ask = lambda old, cited: text.strip_fences(self.models.chat(prompts.category_summary(F.col("name"), old, F.col("updates"), cited, self.settings.summary_length)))
+        names = self.store.table("memory_categories").select(F.col("id").alias("category_id"), "name", F.col("summary").alias("old"))
+        rows = updates.join(names, "category_id")
+        made = cut(rows.select("category_id", "part", "name", ask(F.when(F.col("part") == 0, F.col("old")), self.settings.item_references).alias("summary")), "summaries")
+        while not made.filter("part > 0").isEmpty():
+            listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "summary"))), lambda x: F.struct(F.lit(None).cast("string").alias("item_id"), x["summary"].alias("summary")))
+            again = made.groupBy("category_id", "name", F.floor(F.col("part") / links.UPDATES).alias("part")).agg(listed.alias("updates"))
+            one, several = again.filter("size(updates) = 1"), again.filter("size(updates) > 1")
+            folded = several.select("category_id", "part", "name", ask(F.lit(None).cast("string"), False).alias("summary"))
+            made = cut(one.select("category_id", "part", "name", F.col("updates")[0]["summary"].alias("summary")).unionByName(folded), "summaries")
+        return made.select("category_id", "summary")
+
     # reading
 
     def retrieve(self, queries: list[Mapping[str, Any]], where: Mapping[str, Any] | None = None, vector: list[float] | None = None) -> dict[str, Any]:

@@ -1,12 +1,17 @@
 """Pipelines, models and the service end to end with a stub."""
 
+import re
+from datetime import datetime
+
 import pytest
 from memloom.models import client as M
+from memloom.operators import links
 from memloom.operators.store import MemoryStore
 from memloom.plans import pipeline as P
 from memloom.plans import prompts
 from memloom.plans.service import MemoryService, Settings, tools, with_memories
 from memloom.sources import files, frames
+from pyspark.sql import functions as F
 
 ITEM = "<item><memory><content>Likes green tea</content><categories><category>Preferences</category></categories></memory><memory><content>Met Ann in May</content><categories><category>people</category><category>events</category></categories></memory></item>"
 
@@ -90,6 +95,36 @@ def test_memorise_and_retrieve(spark, service):
         service.retrieve([{"role": "user", "content": "x"}], {"nope": 1})
 
 
+def test_media_and_captions(spark, service):
+    raw = '[{"role":"user","content":"a"},{"role":"user","content":"b"},{"role":"user","content":"c"}]'
+    rows = [("/in/t.json", "conversation", raw, None), ("/in/p.png", "image", None, b"12345"), ("/in/s.wav", "audio", None, b"123"), ("/in/n.wav", "audio", "said already", None), ("/in/f.mp4", "video", None, b"no film"), ("/in/d.txt", "document", None, None), ("/in/x.txt", "text", "as it is", None)]
+    service.run("memorize", resources=spark.createDataFrame(rows, "url string, modality string, raw_text string, content binary"), user={"user_id": "u"})
+    got = {r.url: (r.modality, r.caption) for r in service.store.table("resources").collect()}
+    assert got["/in/p.png"] == ("image", "image/png") and got["/in/f.mp4"] == ("video", None) and got["/in/d.txt"] == ("document", None) and got["/in/x.txt"] == ("text", None)
+    assert got["t_#segment_0.json"][1] != got["t_#segment_1.json"][1] and got["t_#segment_0.json"][1].startswith("stub:") and got["/in/s.wav"][1].startswith("stub:")
+    texts = {r.url: r.text for r in service._preprocess(service._ingest({"resources": spark.createDataFrame(rows, "url string, modality string, raw_text string, content binary"), "user": {}}, None), None)["texts"].collect()}
+    assert texts["/in/p.png"] == "image/png of 5 bytes" and texts["/in/f.mp4"] is None and texts["/in/d.txt"] is None and texts["/in/x.txt"] == "as it is" and texts["t_#segment_1.json"] == "[2] [user]: c"
+
+
+def test_large_categories_are_folded_in_parts(spark, service, monkeypatch):
+    monkeypatch.setattr(links, "UPDATES", 4)
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = table([(f"i{k:02}", "c1") for k in range(40)] + [("i00", "c2"), ("i00", "c2")], "item_id string, category_id string")
+    items = table([(f"i{k:02}", datetime(2025, 1, 1), f"s{k}") for k in range(40)], "id string, created_at timestamp, summary string")
+    updates = links.category_updates(edges, items, 4).persist()
+    sizes = [len(r.updates) for r in updates.collect() if r.category_id == "c1"]
+    assert sum(sizes) == 40 and max(sizes) <= 12 and len(sizes) > 5
+
+    class Model:
+        def chat(self, prompt, system=None):
+            return F.concat(F.lit("<"), F.array_join(F.regexp_extract_all(prompt, F.lit("- (.*)"), F.lit(1)), "+"), F.lit(">"))
+
+    service.models = Model()
+    service.store.append("memory_categories", table([("c1", "one"), ("c2", "two")], "id string, name string"))
+    got = {r.category_id: r.summary for r in service._summaries(updates).collect()}
+    assert got["c2"] == "<s0>" and sorted(re.findall(r"s\d+", got["c1"])) == sorted(f"s{k}" for k in range(40)) and got["c1"].startswith("<<<")
+
+
 def test_retrieve_by_model(spark, service):
     service.memorize(spark.createDataFrame([("/in/doc.txt", "document", "Some text.")], "url string, modality string, raw_text string"), {"user_id": "u"})
     ids = {e: [r.id for r in service.store.table(e).orderBy("id").collect()] for e in ("memory_categories", "memory_items", "resources")}
