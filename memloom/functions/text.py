@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python splits it, over the whole basic plane.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -225,18 +227,23 @@ def format_conversation(raw: Column) -> Column:
     return F.coalesce(conversation_lines(messages(raw)), raw)
 
 
-def numbered_lines(c: Column) -> Column:
-    """[n] before every line that isn't blank."""
-    step = F.aggregate(
-        F.split(c, "\n"),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(
-            F.length(strip(x)) > 0,
-            F.struct((s["n"] + 1).alias("n"), F.concat(s["out"], F.array(F.concat(F.lit("["), s["n"].cast("string"), F.lit("] "), x))).alias("out")),
-        ).otherwise(F.struct(s["n"].alias("n"), F.concat(s["out"], F.array(x)).alias("out"))),
-        lambda s: F.array_join(s["out"], "\n"),
-    )
-    return step
+@F.pandas_udf(T.StringType())
+def numbered_lines(texts: pd.Series) -> pd.Series:
+    """[n] before every line that isn't blank; in Arrow batches, since an expression would copy what it has at every line."""
+
+    def number(t: str) -> str:
+        n, out = 0, []
+        for line in t.split("\n"):
+            if line.strip():
+                line, n = f"[{n}] {line}", n + 1
+            out.append(line)
+        return "\n".join(out)
+
+    return texts.map(number, na_action="ignore")
+
+
+def excerpt(c: Column, n: int = 100) -> Column:
+    return F.concat(F.left(c, F.lit(n)), F.lit("..."))
 
 
 def history(msgs: Column) -> Column:

@@ -12,7 +12,6 @@ from memloom.operators.store import MemoryStore
 from memloom.plans import prompts
 from memloom.plans.service import MemoryService, Settings, with_extra
 from memloom.session import load, scratch_path
-from memloom.sources import files
 from memloom.streaming import triggers
 
 AS_OF = "2026-01-01 00:00:00"
@@ -354,16 +353,6 @@ def llm_call_stats(s, d):  # noqa: ANN001, ANN201
     return client.call_statistics(log.filter(filters.call_filter(operations=["CLICK", "view", "purchase"]))).select("operation", "n_calls", "n_errors", F.col("chars").cast("bigint").alias("chars"), F.round("avg_seconds", 6).alias("avg_seconds"))
 
 
-def embed_stub(s, d):  # noqa: ANN001, ANN201
-    out = filters.with_summary(load(s, d, "memory_categories")).select("id", client.stub_factory().embed(F.col("summary")).alias("v"))
-    return out.select("id", F.size("v").cast("bigint").alias("dimensions"))
-
-
-def local_texts(s, d):  # noqa: ANN001, ANN201
-    found = files.binaries(s, f"{d}/region.parquet")
-    return found.select(text.file_name(F.col("url"), F.lit("document")).alias("name"), F.col("size").cast("bigint").alias("size"))
-
-
 # pipelines and streams
 
 _STUB = {
@@ -408,7 +397,7 @@ _NAMES = """scope_eq scope_in scope_none_skipped project_no_embedding point_look
 salience_score recency_decay rag_category_tier rag_item_tier rag_resource_tier rag_three_tier content_hash dedupe_reinforce reinforce_by_scope latest_state tombstone_delete clear_scope
 category_get_or_create link_idempotent links_without_dangling category_items_semi resources_for_items llm_rank_join_order category_name_map category_membership_diff category_updates category_lines
 extract_refs strip_refs cite_refs short_ref_id ref_writeback reference_map conversation_format last_user_message inject_context segment_slice json_blob tag_content decision_parse filename_from_url
-segment_url patch_parse category_summary_prompt format_scores tool_stats tool_stats_recent_n tool_call_hash llm_call_stats embed_stub local_texts memorize_stub stream_count_trigger stream_window_counts"""
+segment_url patch_parse category_summary_prompt format_scores tool_stats tool_stats_recent_n tool_call_hash llm_call_stats memorize_stub stream_count_trigger stream_window_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _Q = """q AS (SELECT embedding::DOUBLE[] AS q FROM memory_items WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -524,5 +513,4 @@ SQL = {
     + ", ''), 'user') || ']: ' || "
     + _trim("c")
     + ", chr(10) ORDER BY i)) AS digest FROM n GROUP BY 1",
-    "embed_stub": "SELECT id, 16::BIGINT AS dimensions FROM memory_categories WHERE length(summary) > 0",
 }

@@ -355,7 +355,7 @@ class MemoryService:
 
     def _delete(self, st: dict, _: Context) -> dict:
         old = self._kept(st["items"])
-        mine = cut(self.store.table("category_items").join(old.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("item_id", "category_id"), "links")
+        mine = cut(self.store.table("category_items").join(old.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("item_id", "category_id").distinct(), "links")
         self.store.delete("memory_items", old.select("id"))
         return {"changes": mine.join(old.withColumnRenamed("id", "item_id"), "item_id").withColumns({"after": F.lit(None).cast("string"), "change": F.lit("unlink")})}
 

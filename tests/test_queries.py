@@ -2,10 +2,10 @@
 
 import pytest
 from conftest import DATA, rows
-from memloom.plans import catalogue, hygiene
+from memloom.plans import catalogue, hygiene, wider
 
-QUERIES = {**hygiene.QUERIES, **catalogue.QUERIES}
-SQL = {**hygiene.SQL, **catalogue.SQL}
+QUERIES = {**hygiene.QUERIES, **catalogue.QUERIES, **wider.QUERIES}
+SQL = {**hygiene.SQL, **catalogue.SQL, **wider.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
