@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ SAMPLE = 131_072
 BLOCK, WINDOW = 20_000, 600
 #: Matches in a vector's window from which its neighbourhood is compared whole, and the least cosine of a vector that a leader covers.
 DENSE, COVER = 30, 0.8
-#: Marked vectors that leaders are chosen from at a time, and vectors of a chunk.
-LEADERS, CHUNK = 4_096, 8_192
+#: Marked vectors that leaders are chosen from at a time, leaders that travel to the workers at a time (13 MB), and vectors of a chunk.
+LEADERS, BROADCAST_LEADERS, CHUNK = 4_096, 50_000, 8_192
 #: For k nearest: curves, vectors of a block, share of all vectors compared on each curve.
 NEAREST_CURVES, NEAREST_BLOCK, NEAREST_SHARE = 10, 8_192, 0.1
 #: Cosines of 8-bit vectors err by less than this.
@@ -97,11 +98,12 @@ class Curves:
         flat = unit @ turn
         return hilbert((flat[:, None, :] >= steps[None]).sum(axis=1), BITS)
 
-    def place(self, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(curve, block and position of every vector on it)."""
+    def place(self, unit: np.ndarray, vec: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(curve, block and position of every vector on it); a key so common that it fills several blocks is spread over them by the vector's hash."""
         for c, (turn, steps, bounds) in enumerate(zip(self.turns, self.steps, self.bounds, strict=True)):
             key = self._keys(unit, turn, steps)
-            yield c, np.searchsorted(bounds, key, "right"), key
+            first, block = (np.searchsorted(bounds, key, side) for side in ("left", "right"))
+            yield c, block - vec % np.maximum(1, block - first), key
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -199,79 +201,82 @@ def _pairs_in(least: float) -> Callable[[list[pa.RecordBatch]], Iterator[pa.Reco
     return work
 
 
-def _leaders(dense: DataFrame) -> np.ndarray:
-    """Vectors of ``dense`` so that every one has a cosine of at least COVER with some of them, and no two of them with each other."""
-    leaders, left = np.empty((0, DIMENSIONS), np.float32), dense
-    while True:
-        rows = left.orderBy(F.xxhash64("vec"), "vec").select("embedding").limit(LEADERS).toArrow().combine_chunks()["embedding"]
-        some = [_unit(c) for c in rows.chunks if len(c)]
-        if not some:
-            return leaders
-        unit = np.concatenate(some)
-        close, free = unit @ unit.T >= COVER, np.ones(len(unit), bool)
-        for k in range(len(unit)):
-            if free[k]:
-                leaders, free = np.concatenate([leaders, unit[k : k + 1]]), free & ~close[k]
+def _leaders(dense: DataFrame, curves: Curves) -> DataFrame:
+    """(leader, embedding): vectors of ``dense`` so that every one has a cosine of at least COVER with some of them.
+
+    Chosen block by block along one curve, so that what is alike meets; two blocks may choose leaders close to each other, which costs visits but loses nothing.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit, vec = _unit(b.column("embedding")), b.column("vec")
+            cell = next(curves.place(unit, vec.to_numpy()))[1].astype(np.int64)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), vec, flat], ["cell", "vec", "embedding"])
+
+    def choose(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders, names = np.empty((0, DIMENSIONS), np.float32), []
+        for whole in held:
+            for b in (whole.slice(lo, LEADERS) for lo in range(0, whole.num_rows, LEADERS)):
+                unit, vec = _unit(b.column("embedding")), b.column("vec").to_numpy()
+                free = np.flatnonzero((unit @ leaders.T).max(axis=1, initial=-1) < COVER)
+                while len(free):
+                    one = unit[free[0]]
+                    leaders, names = np.concatenate([leaders, one[None]]), [*names, vec[free[0]]]
+                    free = free[1:][unit[free[1:]] @ one < COVER]
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(leaders.ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)), flat], ["leader", "embedding"])
+
+    placed = dense.select("vec", "embedding").mapInArrow(rows, "cell bigint, vec bigint, embedding array<float>")
+    return placed.repartition("cell").sortWithinPartitions("cell", "vec").mapInArrow(_by_block(choose), "leader bigint, embedding array<float>")
 
-        def uncovered(batches: Iterator[pa.RecordBatch], leaders: np.ndarray = leaders) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                # a leader itself is covered whatever the rounding
-                yield b.filter(pa.array((_unit(b.column("embedding")) @ leaders.T).max(axis=1) < COVER - 1e-5))
 
-        left = dense.mapInArrow(uncovered, dense.schema)
+def _visits(different: DataFrame, leaders: DataFrame, reach: float) -> DataFrame:
+    """(vec, leader, near, packed): every vector and the leaders of which its cosine is at least ``reach``; the leaders are read in blocks of BROADCAST_LEADERS."""
 
+    def near_to(some: np.ndarray, names: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, 20_000_000 // max(1, len(some)))
+            for whole in batches:
+                for b in (whole.slice(lo, step) for lo in range(0, whole.num_rows, step)):
+                    unit = _unit(b.column("embedding"))
+                    near = unit @ some.T
+                    i, j = np.nonzero(near >= reach)
+                    if len(i):
+                        at = pa.array(i)
+                        yield pa.RecordBatch.from_arrays([b.column("vec").take(at), pa.array(names[j]), pa.array(near[i, j]), _packed(unit).take(at)], ["vec", "leader", "near", "packed"])
 
-def _dense_pairs(dense: DataFrame, different: DataFrame, least: float) -> DataFrame | None:
-    """(a, b): every pair of a vector that a leader covers and any other that may reach ``least``.
+        return run
+
+    found, block, rows = [], [], leaders.toLocalIterator(prefetchPartitions=True)
+    while block := list(islice(rows, BROADCAST_LEADERS)):
+        some, names = np.array([r.embedding for r in block], np.float32), np.array([r.leader for r in block], np.int64)
+        found.append(cut(different.select("vec", "embedding").mapInArrow(near_to(some, names), "vec bigint, leader bigint, near float, packed binary"), "visits"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _dense_pairs(dense: DataFrame, different: DataFrame, curves: Curves, least: float) -> DataFrame:
+    """(a, b): every pair of a vector of ``dense`` and any other that may reach ``least``.
 
     A vector belongs to the nearest leader that covers it, and visits every leader from which it is no further than that
     cover and the angle of ``least`` together; so it meets there all its matches that belong to it.
     """
-    leaders = _leaders(dense)
-    if not len(leaders):
-        return None
-    cover, reach = COVER - 1e-5, np.cos(np.arccos(COVER - 1e-5) + np.arccos(least) + 1e-3)
-
-    def placed(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The leader that each vector belongs to or -1, and its visits: vector and leader."""
-        near = unit @ leaders.T
-        home = np.where(near.max(axis=1) >= cover, near.argmax(axis=1), -1)
-        return home, *np.nonzero(near >= reach)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1_000):
-                home, _, to = placed(_unit(b.column("embedding").slice(lo, 1_000)))
-                n = [np.bincount(x, minlength=len(leaders)) for x in (home[home >= 0], to)]
-                some = np.flatnonzero(n[1])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[0][some], n[1][some])], ["leader", "own", "all"])
-
-    own, every = np.zeros(len(leaders), np.int64), np.zeros(len(leaders), np.int64)
-    for r in different.select("embedding").mapInArrow(count, "leader bigint, own bigint, all bigint").groupBy("leader").agg(F.sum("own"), F.sum("all")).collect():
-        own[r[0]], every[r[0]] = r[1], r[2]
-    rows_of, columns_of = np.maximum(1, -(-own // CHUNK)), np.maximum(1, -(-every // CHUNK))
-    first = np.concatenate([[0], np.cumsum(rows_of * columns_of)])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(lo, 1_000) for lo in range(0, whole.num_rows, 1_000)):
-                unit, vec = _unit(b.column("embedding")), b.column("vec").to_numpy()
-                packed = _packed(unit)
-                home, at, to = placed(unit)
-                mine = np.flatnonzero(home >= 0)
-                for visit, who, leader in ((False, mine, home[mine]), (True, at, to)):
-                    copies = (rows_of if visit else columns_of)[leader]
-                    who, leader = np.repeat(who, copies), np.repeat(leader, copies)
-                    other = np.arange(len(who)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    r, c = (other, vec[who] % columns_of[leader]) if visit else (vec[who] % rows_of[leader], other)
-                    for lo in range(0, len(who), 10_000):
-                        take = slice(lo, lo + 10_000)
-                        cell = (first[leader] + r * columns_of[leader] + c)[take].astype(np.int64)
-                        n = pa.array(who[take])
-                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), visit)), pa.array(leader[take].astype(np.int64)), pa.array(home[who[take]].astype(np.int64)), b.column("vec").take(n), packed.take(n)], ["cell", "visit", "leader", "home", "vec", "packed"])
+    cover = COVER - 1e-5  # a leader itself is covered whatever the rounding
+    visits = _visits(different, cut(_leaders(dense, curves), "leaders"), float(np.cos(np.arccos(cover) + np.arccos(least) + 1e-3)))
+    home = visits.filter(F.col("near") >= cover).groupBy("vec").agg(F.max_by("leader", F.struct("near", "leader")).alias("home"))
+    few = home.limit(FEW + 1).count() <= FEW
+    visits = cut(visits.join(F.broadcast(home) if few else home, "vec", "left"), "homes")
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    sizes = cut(visits.groupBy("leader").agg(chunks(F.count_if(F.col("leader") == F.col("home"))).alias("rows"), chunks(F.count("*")).alias("columns")), "sizes")
+    few = sizes.limit(FEW + 1).count() <= FEW
+    sized = visits.join(F.broadcast(sizes) if few else sizes, "leader").withColumns({"r": F.pmod(F.col("vec"), F.col("rows")), "c": F.pmod(F.xxhash64("vec"), F.col("columns"))})
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - F.lit(1).cast("bigint")))
+    own = sized.filter("leader = home").withColumn("c", every("columns")).withColumn("visit", F.lit(False))
+    guests = sized.withColumn("r", every("rows")).withColumn("visit", F.lit(True))
+    both = own.unionByName(guests).select(F.xxhash64("leader", "r", "c").alias("cell"), "visit", "leader", F.coalesce("home", "leader").alias("home"), F.col("home").isNotNull().alias("covered"), "vec", "packed")
 
     def work(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        visit = np.concatenate([r.column("visit").to_numpy(zero_copy_only=False) for r in held]).astype(bool)
+        visit, covered = (np.concatenate([r.column(k).to_numpy(zero_copy_only=False) for r in held]).astype(bool) for k in ("visit", "covered"))
         leader, home, vec = (np.concatenate([r.column(k).to_numpy() for r in held]) for k in ("leader", "home", "vec"))
         unit = _unpacked([r.column("packed") for r in held])
         x, y = np.flatnonzero(~visit), np.flatnonzero(visit)
@@ -279,12 +284,11 @@ def _dense_pairs(dense: DataFrame, different: DataFrame, least: float) -> DataFr
             i, j = np.nonzero(unit[x[lo : lo + 128]] @ unit[y].T >= least - MARGIN)
             i, j = x[lo + i], y[j]
             # two that belong to leaders meet at both, or twice at one: the pair is given once
-            keep = (vec[i] != vec[j]) & ((home[j] < 0) | (leader[i] < home[j]) | ((leader[i] == home[j]) & (vec[i] < vec[j])))
+            keep = (vec[i] != vec[j]) & (~covered[j] | (leader[i] < home[j]) | ((leader[i] == home[j]) & (vec[i] < vec[j])))
             if keep.any():
                 yield _ordered(vec[i[keep]], vec[j[keep]])
 
-    schema = "cell bigint, visit boolean, leader bigint, home bigint, vec bigint, packed binary"
-    return different.select("vec", "embedding").mapInArrow(rows, schema).repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_block(work), "a bigint, b bigint")
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_block(work), "a bigint, b bigint")
 
 
 def _exact(pairs: DataFrame, different: DataFrame) -> DataFrame:
@@ -309,7 +313,7 @@ def similar_pairs(tables: list[DataFrame], key: str = "id", vector: str = "embed
         for b in batches:
             unit = _unit(b.column("embedding"))
             packed = _packed(unit)
-            for c, cell, key in curves.place(unit):
+            for c, cell, key in curves.place(unit, b.column("vec").to_numpy()):
                 yield pa.RecordBatch.from_arrays([pa.array((cell + c * curves.blocks).astype(np.int64)), pa.array(key), b.column("vec"), packed], ["cell", "key", "vec", "packed"])
 
     placed = different.select("vec", "embedding").mapInArrow(rows, "cell bigint, key bigint, vec bigint, packed binary")
@@ -319,11 +323,9 @@ def similar_pairs(tables: list[DataFrame], key: str = "id", vector: str = "embed
     marked = met.filter("a = b").select(F.col("a").alias("vec"))
     met = met.filter("a != b")
     few = marked.limit(FEW + 1).count() <= FEW
-    dense = None
     if not marked.isEmpty():
-        dense = _dense_pairs(cut(different.join(F.broadcast(marked) if few else marked, "vec", "left_semi").select("vec", "embedding"), "dense"), different, least)
-    if dense is not None:
-        met = cut(met.unionByName(dense).distinct(), "met_dense")
+        dense = different.join(F.broadcast(marked) if few else marked, "vec", "left_semi").select("vec", "embedding")
+        met = cut(met.unionByName(_dense_pairs(dense, different, curves, least)).distinct(), "met_dense")
     pairs = cut(_exact(met, different).filter(F.col("cosine") >= least).select("a", "b"), "pairs")
     linked = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).union(different.filter("n > 1").select("vec")).distinct()
     few = linked.limit(FEW + 1).count() <= FEW
@@ -344,7 +346,7 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
             unit = _unit(b.column("embedding"))
             packed, vec = _packed(unit), b.column("vec")
             ask = np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
-            for c, cell, _ in curves.place(unit):
+            for c, cell, _ in curves.place(unit, vec.to_numpy()):
                 cells, at, is_query = [cell], [np.arange(len(cell))], [np.zeros(len(cell), bool)]
                 for off in range(-reach, reach + 1):  # queries, a fiftieth, visit the blocks around their own
                     there = cell[ask] + off
