@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import BROADCAST_ROWS, cut
+from memloom.session import BROADCAST_ROWS, cut, spread
 
 #: Parents in one sorted array, and references probed against one copy of it.
 RANGE_PARENTS = 50_000
@@ -152,7 +152,8 @@ def dangling(references: list[Reference], targets: dict[str, DataFrame], deletio
         )
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("range", rng)
-    salts = rows.groupBy("range").agg(F.ceil(F.count("*") / RANGE_REFERENCES).cast("int").alias("salts"))
+    salts = cut(rows.groupBy("range").agg(F.ceil(F.count("*") / RANGE_REFERENCES).cast("int").alias("salts")), "salts")
+    cells = salts.agg(F.sum("salts")).first()[0] or 1
     small = n_ranges <= BROADCAST_ROWS
     salts = F.broadcast(salts) if small else salts
     refs = rows.join(salts, "range").withColumn("salt", F.pmod(F.xxhash64("rec_id", "field"), F.col("salts")).cast("int"))
@@ -162,7 +163,7 @@ def dangling(references: list[Reference], targets: dict[str, DataFrame], deletio
     both = copies.select(cell, F.lit(False).alias("ref"), "h", "key", F.col("alive_us").alias("us"), none.alias("tbl"), none.alias("field"), none.alias("rec_id")).unionByName(
         refs.select(cell, F.lit(True).alias("ref"), "h", "key", "us", "tbl", "field", "rec_id")
     )
-    ordered = both.repartition("cell").sortWithinPartitions("cell", "ref", "h")
+    ordered = spread(both, "cell", cells).sortWithinPartitions("cell", "ref", "h")
     found = ordered.mapInArrow(_probe, "tbl string, field string, rec_id string, us bigint")
     return found.groupBy("tbl", "field", "rec_id").agg(F.min("us").alias("us")).select("tbl", "field", "rec_id", F.timestamp_micros("us").alias("created_at"))
 

@@ -64,6 +64,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, key: str, pieces: int) -> DataFrame:
+    """``df`` by ``key`` over as many partitions as the session asks for, or over ``pieces`` if those are more.
+
+    So a group of partitions never grows with the data because the session was set up for less of it.
+    """
+    return df.repartition(pieces, key) if pieces > parallelism(df.sparkSession) else df.repartition(key)
+
+
 def hot_join(rows: DataFrame, dim: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``dim`` (unique on ``keys``; ``count`` = rows with that key).
 
