@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.expand import record_pairs
-from memloom.session import cut
+from memloom.session import cut, spread
 
 DIMENSIONS = 64
 #: Curves, projected dimensions and bits of each (their product is a key of 48 bits), and the seed.
@@ -44,8 +45,10 @@ BLOCK, WINDOW = 20_000, 600
 DENSE, COVER = 30, 0.8
 #: Marked vectors that leaders are chosen from at a time, leaders that travel to the workers at a time (13 MB), and vectors of a chunk.
 LEADERS, BROADCAST_LEADERS, CHUNK = 4_096, 50_000, 8_192
-#: For k nearest: curves, vectors of a block, share of all vectors compared on each curve.
-NEAREST_CURVES, NEAREST_BLOCK, NEAREST_SHARE = 10, 8_192, 0.1
+#: For k nearest: curves, share of all vectors compared on each curve, and the least and most vectors of a block; three blocks make a share.
+NEAREST_CURVES, NEAREST_SHARE, NEAREST_BLOCKS = 16, 0.04, (1_024, 131_072)
+#: Blocks of one task, about, and products held at a time.
+BLOCKS_A_TASK, PRODUCTS = 8, 20_000_000
 #: Cosines of 8-bit vectors err by less than this.
 MARGIN = 0.02
 FEW = 500_000
@@ -80,6 +83,7 @@ class Curves:
     def __init__(self, sample: np.ndarray, total: int, curves: int, block: int) -> None:
         rng = np.random.default_rng(SEED)
         self.blocks = max(1, min(-(-total // block), SAMPLE // 8))
+        self.cells = curves * self.blocks
         self.turns, self.steps, self.bounds = [], [], []
         for _ in range(curves):
             turn = np.linalg.qr(rng.normal(size=(DIMENSIONS, DIMENSIONS)))[0][:, :PROJECTED].astype(np.float32)
@@ -236,7 +240,7 @@ def _visits(different: DataFrame, leaders: DataFrame, reach: float) -> DataFrame
 
     def near_to(some: np.ndarray, names: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, 20_000_000 // max(1, len(some)))
+            step = max(1, PRODUCTS // max(1, len(some)))
             for whole in batches:
                 for b in (whole.slice(lo, step) for lo in range(0, whole.num_rows, step)):
                     unit = _unit(b.column("embedding"))
@@ -318,7 +322,7 @@ def similar_pairs(tables: list[DataFrame], key: str = "id", vector: str = "embed
 
     placed = different.select("vec", "embedding").mapInArrow(rows, "cell bigint, key bigint, vec bigint, packed binary")
     # equal keys are in another order on every curve
-    met = placed.repartition("cell").sortWithinPartitions("cell", "key", F.xxhash64("cell", "vec")).mapInArrow(_by_block(_pairs_in(least)), "a bigint, b bigint")
+    met = spread(placed, "cell", curves.cells // BLOCKS_A_TASK).sortWithinPartitions("cell", "key", F.xxhash64("cell", "vec")).mapInArrow(_by_block(_pairs_in(least)), "a bigint, b bigint")
     met = cut(met.distinct(), "met")
     marked = met.filter("a = b").select(F.col("a").alias("vec"))
     met = met.filter("a != b")
@@ -337,8 +341,9 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
     """(id, neighbour_id, rank, cosine): the k most similar other records of every record of the query set."""
     members, different = vectors(tables, key, vector)
     total = different.count()
-    curves = _fit(different, total, NEAREST_CURVES, NEAREST_BLOCK)
-    reach = max(1, round(share * total / NEAREST_BLOCK / 2))
+    block = round(min(max(share * total / 3, NEAREST_BLOCKS[0]), NEAREST_BLOCKS[1]))
+    curves = _fit(different, total, NEAREST_CURVES, block)
+    reach = max(1, ceil((share * total / block - 1) / 2))
     wanted = 2 * k
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,10 +371,11 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
         data, own, out = unit[~ask], vec[~ask], []
         queries, names = unit[ask], vec[ask]
         n = min(wanted + 1, len(own))
-        for lo in range(0, len(queries) if n else 0, 512):
-            cosine = queries[lo : lo + 512] @ data.T
+        step = max(1, PRODUCTS // max(1, len(own)))
+        for lo in range(0, len(queries) if n else 0, step):
+            cosine = queries[lo : lo + step] @ data.T
             top = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
-            out.append((np.repeat(names[lo : lo + 512], n), own[top].ravel(), np.take_along_axis(cosine, top, axis=1).ravel()))
+            out.append((np.repeat(names[lo : lo + step], n), own[top].ravel(), np.take_along_axis(cosine, top, axis=1).ravel()))
         if not out:
             return
         a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -377,7 +383,7 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
         yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(near[other].astype(np.float32))], ["a", "b", "near"])
 
     placed = different.select("vec", "embedding", "asked").mapInArrow(rows, "cell bigint, ask boolean, vec bigint, packed binary")
-    met = placed.repartition("cell").sortWithinPartitions("cell", "ask").mapInArrow(_by_block(work), "a bigint, b bigint, near float")
+    met = spread(placed, "cell", curves.cells // BLOCKS_A_TASK).sortWithinPartitions("cell", "ask").mapInArrow(_by_block(work), "a bigint, b bigint, near float")
     best = Window.partitionBy("a").orderBy(F.desc("near"), "b")
     met = met.groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= wanted).select("a", "b")
     exact = _exact(cut(met, "met"), different)
