@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.expand import record_pairs
-from memloom.session import cut
+from memloom.session import cut, spread
 
 THRESHOLD = Fraction(7, 10)
 #: Costs of a row that is shuffled and of a pair that is checked, in nanoseconds, and the frequency boundaries
@@ -46,6 +46,8 @@ CHECKS = tuple(125 * 2**k for k in range(11))
 HEAVY = 500_000
 #: Rows of one list that meet in one step; longer ones are split. Rows of lists a worker holds at a time.
 GROUP, CHUNK = 30_000, 150_000
+#: Rows of lists that go to one task, about.
+ROWS_A_TASK = 1_000_000
 #: Lists from so many rows on are compared in blocks of rows.
 LONG, BLOCK = 96, 128
 #: Candidate pairs up to which the sets they need are fetched by broadcast.
@@ -98,6 +100,7 @@ class Plan:
         self.small = max((s for s in range(1, 13) if self.subsets(s) <= s + 1), default=0)
         self.classes: list[int] = []
         self.one_off: set[tuple[int, int]] = set()
+        self.rows = 0
 
     def choose(self, met: dict[int, dict[int, int]], lists: dict[int, int], sample: list[np.ndarray]) -> None:
         """Settle the frequency boundary, and how the heavy words of each pair of classes are cut.
@@ -109,7 +112,7 @@ class Plan:
             light, heavy, checks = self.choices[k]
             ranks = [np.sort(r[(r >= 0) & (r < heavy)]) for r in sample]
             words = sum(map(len, ranks)) / max(1, len(ranks))
-            cost, off = ROW_COST * lists[k] + CHECK_COST * checks, set()
+            cost, off, many = ROW_COST * lists[k] + CHECK_COST * checks, set(), lists[k]
             seen: dict[int, tuple[float, float]] = {}
             for q, n in met[k].items():
                 for o, m in met[k].items():
@@ -122,10 +125,11 @@ class Plan:
                     whole = ROW_COST * rows * (r + 1) + CHECK_COST * pairs * seen[r][0]
                     less = ROW_COST * rows * (r // 2 + 1 + words) + CHECK_COST * pairs * seen[r][1]
                     cost += min(whole, less)
+                    many += round(rows * (r + 1 if whole <= less else r // 2 + 1 + words))
                     if less < whole:
                         off.add((q, o))
             if cost < best:
-                best, self.light, self.heavy, self.classes, self.one_off = cost, light, heavy, sorted(met[k]), off
+                best, self.light, self.heavy, self.classes, self.one_off, self.rows = cost, light, heavy, sorted(met[k]), off, many
 
     def overlap(self, a: int, b: int) -> int:
         return ceil(self.threshold / (1 + self.threshold) * (a + b))
@@ -368,7 +372,7 @@ def similar_sets(sets: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     ranks = [r for c in some.chunks for r in splitter.ranks(c)]
     plan.choose(met, lists, ranks)
     rows = _split_long(sets.mapInArrow(splitter.rows, _KEYED))
-    met = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(plan.slack), "a bigint, b bigint").distinct()
+    met = spread(rows, "key", plan.rows // ROWS_A_TASK).sortWithinPartitions("key", "size").mapInArrow(_meet(plan.slack), "a bigint, b bigint").distinct()
     met = cut(met, "candidates")
     n = met.count()
     ids = met.select(F.col("a").alias("set")).union(met.select("b")).distinct()
