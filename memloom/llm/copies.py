@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from memloom.session import cut, hot_join
 
+#: Forms of groups up to which their 64-bit hashes are broadcast.
+FEW = 500_000
 _PARTS = "[;|\\n\\r\\x0B\\f\\x85\\u2028\\u2029]"
 _FIELD = "(?s)^\\s*[^:\\s][^:]*:.*\\S.*$"
 
@@ -93,7 +95,10 @@ def copies(df: DataFrame, key: str = "id", kind: str = "memory_type", text: str
     """(first_id, copy_id): every record of a group but its first, beside the first."""
     rows, forms = _grouped(df, key, kind, text)
     many = forms.filter("n_records > 1")
-    total = many.agg(F.sum("n")).first()[0] or 0
+    n, total = many.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n <= FEW:  # only records of groups are shuffled then; a false meeting of hashes ends in the join
+        name = F.xxhash64("leaf", "node").alias("form")
+        rows = rows.withColumn("form", name).join(F.broadcast(many.select(name).distinct()), "form", "left_semi")
     met = hot_join(rows.select("id", "leaf", "node", "seq"), many.select("leaf", "node", "seq", "first_id", "n"), ["leaf", "node", "seq"], "n", total)
     return met.filter("id != first_id").select("first_id", F.col("id").alias("copy_id")).distinct()
 
