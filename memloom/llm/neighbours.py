@@ -343,7 +343,7 @@ def nearest(tables: list[DataFrame], k: int = 10, key: str = "id", vector: str =
     total = different.count()
     block = round(min(max(share * total / 3, NEAREST_BLOCKS[0]), NEAREST_BLOCKS[1]))
     curves = _fit(different, total, NEAREST_CURVES, block)
-    reach = max(1, ceil((share * total / block - 1) / 2))
+    reach = max(1, ceil((share * total / block - 1) / 2 - 0.01))  # whatever the rounding of the block
     wanted = 2 * k
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
